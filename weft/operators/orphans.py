@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.heavy import heavy_keys
+from weft.session import stage
+
 # Vertex tables at the two ends of an edge, by label.
 ENDS = {
     "knows": ("person", "person"),
@@ -26,13 +29,18 @@ ENDS = {
 HEAVY_SHARE = 0.002
 
 
-def vertex_states(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """tab, id, first_loaded, gone (every row deleted) of each vertex; ``tables``: name -> (DataFrame, id column)."""
+def vertex_rows(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """tab, id, loaded_at, gone of every row of the vertex tables; ``tables``: name -> (DataFrame, id column)."""
     out = None
     for name, (df, key) in tables.items():
         one = df.select(F.lit(name).alias("tab"), F.col(key).cast("bigint").alias("id"), F.col("loaded_at"), F.col("deleted_at").isNotNull().alias("gone")).filter(F.col("id").isNotNull())
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("tab", "id").agg(F.min("loaded_at").alias("first_loaded"), F.min("gone").alias("gone"))
+    return out
+
+
+def vertex_states(rows: DataFrame) -> DataFrame:
+    """tab, id, first_loaded, gone (every row deleted) of each vertex."""
+    return rows.groupBy("tab", "id").agg(F.min("loaded_at").alias("first_loaded"), F.min("gone").alias("gone"))
 
 
 def _end_table(label: Column, side: int) -> Column:
@@ -69,27 +77,25 @@ class OrphanCheck:
     def __init__(self, edges: DataFrame, tables: dict[str, tuple[DataFrame, str]], heavy_share: float = HEAVY_SHARE) -> None:
         self.refs = references(edges)
         period = F.date_format("loaded_at", "yyyy-MM").alias("period")
-        self.keyed = self.refs.groupBy("tab", "id", period).agg(F.count(F.lit(1)).alias("n"), F.min("loaded_at").alias("earliest"))
-        per_key = self.keyed.groupBy("tab", "id").agg(F.sum("n").alias("n"), F.min("earliest").alias("earliest"))
-        total = self.refs.agg(F.count(F.lit(1)).alias("total"))
-        # at most 1 / heavy_share rows, and so small enough for a broadcast at any size of the data
-        self.heavy = per_key.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.greatest(F.lit(2), F.col("total") * heavy_share)).select("tab", "id", "earliest")
-        states = vertex_states(tables)
-        heavy = F.broadcast(self.heavy.select("tab", "id"))
-        light_keys = per_key.join(heavy, ["tab", "id"], "left_anti").join(states, ["tab", "id"], "left")
-        heavy_states = states.join(heavy, ["tab", "id"], "left_semi")
-        heavy_keys = self.heavy.join(F.broadcast(heavy_states), ["tab", "id"], "left")
-        wrong = _reason(F.col("earliest")).isNotNull()
+        self.keyed = stage(self.refs.groupBy("tab", "id", period).agg(F.count(F.lit(1)).alias("n"), F.min("loaded_at").alias("earliest")), "references")
+        self.heavy = heavy_keys(self.keyed, ["tab", "id"], heavy_share, weight="n").select("tab", "id")
+        per_key = self.keyed.groupBy("tab", "id").agg(F.min("earliest").alias("earliest"))
+        rows = vertex_rows(tables)
+        light_keys = per_key.join(F.broadcast(self.heavy), ["tab", "id"], "left_anti").join(vertex_states(rows), ["tab", "id"], "left")
+        # few vertices are heavy: their rows are picked by broadcast and never shuffled with the rest
+        heavy_states = vertex_states(rows.join(F.broadcast(self.heavy), ["tab", "id"], "left_semi"))
+        heavy_keyed = per_key.join(F.broadcast(self.heavy), ["tab", "id"], "left_semi").join(F.broadcast(heavy_states), ["tab", "id"], "left")
         keep = ["tab", "id", "first_loaded", "gone"]
-        self.light_orphans = light_keys.filter(wrong).select(*keep)
-        self.heavy_orphans = heavy_keys.filter(wrong).select(*keep)
+        wrong = _reason(F.col("earliest")).isNotNull()
+        self.light_orphans = stage(light_keys.filter(wrong).select(*keep), "orphans")
+        self.heavy_orphans = stage(heavy_keyed.filter(wrong).select(*keep).coalesce(1), "orphans")
 
     def rows(self) -> DataFrame:
         """edge_id, endpoint, reason (and tab, period) of each orphan end."""
         cols = ["edge_id", "endpoint", _reason(F.col("loaded_at")).alias("reason"), "tab", F.date_format("loaded_at", "yyyy-MM").alias("period")]
         heavy_refs = self.refs.join(F.broadcast(self.heavy_orphans), ["tab", "id"]).select(*cols)
         # references to heavy keys never meet light_orphans; without them no join key is heavy
-        light_refs = self.refs.join(F.broadcast(self.heavy.select("tab", "id")), ["tab", "id"], "left_anti").join(self.light_orphans, ["tab", "id"]).select(*cols)
+        light_refs = self.refs.join(F.broadcast(self.heavy), ["tab", "id"], "left_anti").join(self.light_orphans, ["tab", "id"]).select(*cols)
         return heavy_refs.unionByName(light_refs).filter(F.col("reason").isNotNull())
 
     def counts(self) -> DataFrame:

@@ -1,8 +1,8 @@
 """Rows that fail to parse: typed vertex rows from snapshot lines, bad lines with their reason.
 
 Every Arrow batch of lines is read on its worker by DuckDB's CSV reader with a reject table. A batch is
-written to an anonymous in-memory file for each entity, every line led by its ordinal, so that accepted
-rows carry the ordinal and rejected ones are found by byte position. An unclosed quote makes a CSV reader
+written to an anonymous in-memory file for each entity, every line led by its ordinal and ended by a full stop as a further field (the reader
+forgives empty fields at the end of a line), so that accepted rows carry the ordinal and rejected ones are found by byte position. An unclosed quote makes a CSV reader
 swallow the lines after it; those are fed again without the culprit until every line is accounted for.
 No shuffle takes place, so neither a huge file nor a million tiny ones matter.
 
@@ -63,14 +63,14 @@ class LineReader:
 
     def _scan(self, lines: list[str], at: np.ndarray, names: tuple[str, ...]) -> tuple[list[tuple], dict[int, tuple[str, str]], set[int]]:
         """Accepted rows, {ordinal: (kind, message)} of rejected lines, the ordinals of all lines that began a record."""
-        parts = [f"{k}|{lines[k]}\n".encode() for k in at]
+        parts = [f"{k}|{lines[k]}|.\n".encode() for k in at]
         starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         fd = os.memfd_create("lines")
         try:
             with os.fdopen(os.dup(fd), "wb") as f:
                 f.write(b"".join(parts))
             longest = max(len(p) for p in parts)
-            columns = ", ".join(f"'{c}': 'VARCHAR'" for c in ("weft_k", *names))
+            columns = ", ".join(f"'{c}': 'VARCHAR'" for c in ("weft_k", *names, "weft_end"))
             rows = self.con.execute(
                 f"""SELECT * FROM read_csv('/proc/{os.getpid()}/fd/{fd}', columns = {{{columns}}}, delim = '|', quote = '"', escape = '"',
                     header = false, auto_detect = false, null_padding = false, strict_mode = true, new_line = '\\n', parallel = false,
@@ -172,7 +172,7 @@ def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     bad[k] = ("value", "id is not usable" if vid is None else "creationDate is not usable")
                 else:
                     hidden = lines[k] is not kept[k][1]
-                    props = [(n, v.translate(_SHOW) if hidden else v) for n, v in zip(names, row[1:], strict=True) if n not in ("id", "creationDate") and v is not None]
+                    props = [(n, v.translate(_SHOW) if hidden else v) for n, v in zip(names, row[1:-1], strict=True) if n not in ("id", "creationDate") and v is not None]
                     out.append((entity, files[j], numbers[j], None, None, raw[j], vid, date, props))
             out += [(entity, files[kept[k][0]], numbers[kept[k][0]], reason, message, raw[kept[k][0]], None, None, None) for k, (reason, message) in bad.items()]
         columns = list(zip(*out, strict=True)) if out else [()] * len(PARSED)

@@ -15,6 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import stage
+
 #: Rows of one key that a task processes at once, at least; beyond MAX_LARGE times as many rows in all, a share of them.
 CHUNK_ROWS = 50_000
 #: No more keys than this are large, whatever the size of the data.
@@ -47,15 +49,18 @@ class KeyChunks:
     def __init__(self, df: DataFrame, key: str, time: str, label: str, chunk_rows: int = CHUNK_ROWS, share: float = 0.02) -> None:
         placed = positioned(df)
         self.rows = placed.select(F.col(key).cast("bigint").alias("key"), F.col(time).alias("time"), F.col(label).alias("label"), "__block", "__pos").filter(F.col("key").isNotNull())
-        self.all_rows = df.agg(F.count(F.lit(1)).alias("all_rows"))
-        counts = self.rows.groupBy("key", "__block").agg(F.count(F.lit(1)).alias("n"))
+        self.all_rows = df.count()
         self.share = share
-        totals = counts.groupBy("key").agg(F.sum("n").alias("total"))
-        size = F.greatest(F.lit(chunk_rows), F.ceil(F.col("all_rows") / MAX_LARGE))
-        # at most MAX_LARGE or 1 / share keys of 16 bytes: bounded, so broadcast
-        self.large = totals.crossJoin(F.broadcast(self.all_rows)).select("key", "total", "all_rows", size.alias("size")).filter((F.col("total") > F.col("size")) | (F.col("total") >= F.col("all_rows") * share))
+        self.size = max(chunk_rows, -(-self.all_rows // MAX_LARGE))
+        counts = self.rows.groupBy("key", "__block").agg(F.count(F.lit(1)).alias("n"))
+        # no more than MAX_LARGE or 1 / share keys, so fit for a broadcast
+        large = self.rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > self.size) | (F.col("n") >= self.all_rows * share))
+        self.large = stage(large.select("key"), "large")
         earlier = Window.partitionBy("key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-        self.offsets = counts.join(F.broadcast(self.large.select("key", "size")), "key").withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+        self.offsets = self._hot(counts).withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+
+    def _hot(self, rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(self.large), "key", "left_semi")
 
     def _states(self, rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
         """One state for each ``by``: its size, ends and what lies between neighbours within it."""
@@ -73,11 +78,10 @@ class KeyChunks:
 
     def large_results(self) -> DataFrame:
         """Results of the large keys, their chunks processed apart and merged in order."""
-        hot = self.rows.join(F.broadcast(self.large.select("key")), "key")
         # a (key, block) pair has no more rows than a block, so numbering is even
         local = F.row_number().over(Window.partitionBy("key", "__block").orderBy("__pos"))
-        numbered = hot.join(self.offsets, ["key", "__block"]).withColumn("number", F.col("offset") + local - 1)
-        chunked = numbered.withColumn("chunk", F.floor(F.col("number") / F.col("size"))).select("key", "chunk", "number", "time", "label")
+        numbered = self._hot(self.rows).join(self.offsets, ["key", "__block"]).withColumn("number", F.col("offset") + local - 1)
+        chunked = numbered.withColumn("chunk", F.floor(F.col("number") / self.size)).select("key", "chunk", "number", "time", "label")
         states = self._states(chunked, ["key", "chunk"], ["number"])
         before = Window.partitionBy("key").orderBy("chunk")
         last = F.lag("tail").over(before)
@@ -99,7 +103,7 @@ class KeyChunks:
 
     def small_results(self) -> DataFrame:
         """Results of the keys that fit in one chunk."""
-        cold = self.rows.join(F.broadcast(self.large.select("key")), "key", "left_anti").select("key", "__block", "__pos", "time", "label")
+        cold = self.rows.join(F.broadcast(self.large), "key", "left_anti").select("key", "__block", "__pos", "time", "label")
         return self._states(cold, ["key"], ["__block", "__pos"]).withColumn("chunks", F.lit(1).cast("bigint")).transform(self._named)
 
     @staticmethod
@@ -112,4 +116,4 @@ class KeyChunks:
 
     def heavy(self) -> DataFrame:
         """The results of the keys with at least ``share`` of all rows."""
-        return self.large_results().crossJoin(F.broadcast(self.all_rows)).filter(F.col("n") >= F.col("all_rows") * self.share).drop("all_rows")
+        return self.large_results().filter(F.col("n") >= self.all_rows * self.share)

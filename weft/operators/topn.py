@@ -11,17 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.heavy import heavy_keys
+
 #: A group with at least this share of all rows is heavy; so there are at most 500 heavy groups.
 HEAVY_SHARE = 0.002
 
 
-def heavy_groups(rows: DataFrame, group: str, share: float, at_least: int) -> DataFrame:
-    """Groups with at least ``share`` of all rows by exact count: no more than ``1 / share``, fit for a broadcast."""
-    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    return counts.crossJoin(F.broadcast(total)).filter(F.col("__n") >= F.greatest(F.lit(at_least), F.col("__total") * share)).select(group)
-
-
 def _first(df: DataFrame, by: list[str], order: list[Column], n: int, rank: Column) -> DataFrame:
     return df.withColumn("__rank", rank.over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__rank") <= n).drop("__rank")
 
@@ -35,7 +30,7 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, heavy_share:
     """
     rows = df.select(group, score, tie).filter(F.col(group).isNotNull() & F.col(score).isNotNull())
     order = [F.col(score).desc(), F.col(tie).asc()]
-    heavy = F.broadcast(heavy_groups(rows, group, heavy_share, n + 1))
+    heavy = F.broadcast(heavy_keys(rows, [group], heavy_share, n + 1).select(group))
     # copies of an item share a dense rank, so no shuffle is spent on removing them first
     light = _first(rows.join(heavy, group, "left_anti"), [group], order, n, F.dense_rank()).distinct()
     # in a heavy group one item may hold most rows: copies go before ranking, combined on the map side
