@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from weft.llm import leaks, spam
+from weft.llm import leaks, packing, spam
 from weft.sources.tables import table
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fixed container length, as this project states the problem."""
+    return packing.pack(table(spark, sf_dir, "documents"), (2048,))
+
+
+def p7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several permitted lengths, chosen jointly."""
+    return packing.pack(table(spark, sf_dir, "documents"), (256, 512, 1024, 2048), overhead=8)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark_items")).filter("exact").select("doc_id", "item_id")
 
@@ -17,5 +26,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.find_spam(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p7_containers, p7_lengths, p8_found, p9_found)}
 ORACLE: dict[str, str] = {}
