@@ -111,7 +111,7 @@ def _pair_sql(rel: str) -> str:
     return f"(SELECT src, dst FROM e WHERE label = '{rel}' ORDER BY src, dst LIMIT 1)"
 
 
-_query("edges_between", f" SELECT src, dst, label FROM e WHERE (src, dst) = {_pair_sql('likes')}")(lambda g: g.between(*_pair(g, "likes")).select(*EDGE))
+_query("edges_between", f" SELECT src, dst, label FROM e WHERE (src, dst) IN {_pair_sql('likes')}")(lambda g: g.between(*_pair(g, "likes")).select(*EDGE))
 
 
 def _exists(g: PropertyGraph) -> DataFrame:
@@ -119,7 +119,7 @@ def _exists(g: PropertyGraph) -> DataFrame:
     return g.edge_exists(src, "knows", dst)
 
 
-_query("edge_exists", f" SELECT src, dst, label FROM e WHERE label = 'knows' AND (src, dst) = {_pair_sql('knows')}")(_exists)
+_query("edge_exists", f" SELECT src, dst, label FROM e WHERE label = 'knows' AND (src, dst) IN {_pair_sql('knows')}")(_exists)
 _query("edges_from_label", f" SELECT {EDGE_SQL} FROM e WHERE {_is('Forum', 'src')} AND property_c > 0")(lambda g: g.pattern("Forum", predicate=prop("property_c", "int") > 0).select(*EDGE))
 _query("edges_label_rel_pred", f" SELECT {EDGE_SQL} FROM e WHERE label = 'hasTag' AND {_is('Post', 'src')} AND cd < {BEFORE}")(lambda g: g.pattern("Post", "hasTag", predicate=prop("creationDate", "bigint") < BEFORE).select(*EDGE))
 _query("edges_label_rel", f" SELECT {EDGE_SQL} FROM e WHERE label = 'hasTag' AND {_is('Comment', 'src')}")(lambda g: g.pattern("Comment", "hasTag").select(*EDGE))
@@ -128,7 +128,7 @@ _query("in_edges_by_rel", f" SELECT {EDGE_SQL} FROM e WHERE label = 'hasCreator'
 _query("out_edges_by_rel", f" SELECT {EDGE_SQL} FROM e WHERE label = 'knows' AND {_is('Person', 'dst')} AND src = {FRIENDLY}")(lambda g: g.pattern(_hub(g, "knows", "src"), "knows", "Person").select(*EDGE))
 _query("out_edges", f" SELECT {EDGE_SQL} FROM e WHERE src = {FRIENDLY} AND cd < {BEFORE}")(lambda g: g.pattern(_hub(g, "knows", "src"), predicate=prop("creationDate", "bigint") < BEFORE).select(*EDGE))
 _query("neighbours", f" SELECT DISTINCT dst FROM e WHERE src = {FRIENDLY}")(lambda g: g.neighbours(_hub(g, "knows", "src")))
-_query("neighbours_by_rel", f" SELECT DISTINCT dst FROM e WHERE src = {FRIENDLY} AND label = 'likes' AND {_is('Post', 'dst')}")(lambda g: g.neighbours(_hub(g, "knows", "src"), "likes", "Post"))
+_query("neighbours_by_rel", f" SELECT DISTINCT dst FROM e WHERE src = {LIKER} AND label = 'likes' AND {_is('Post', 'dst')}")(lambda g: g.neighbours(_hub(g, "likes", "src"), "likes", "Post"))
 _query(
     "path_k_hop",
     f""", h1 AS (SELECT DISTINCT dst FROM e WHERE src = {FRIENDLY} AND label = 'knows' AND {_is("Person", "dst")}), h2 AS (SELECT DISTINCT e.dst FROM e JOIN h1 ON e.src = h1.dst WHERE label = 'knows' AND {_is("Person", "e.dst")})
@@ -179,7 +179,7 @@ _query("dml_add_vertex_auto", " SELECT max(vid) + 1 AS vid, 'Robot' AS label FRO
 
 def _add_edge(undirected: bool):
     def run(g: PropertyGraph) -> DataFrame:
-        a, b = _hub(g, "knows", "src"), _hub(g, "hasCreator", "dst")
+        a, b = _hub(g, "knows", "src"), _hub(g, "replyOf", "dst")
         g = dml.add_edge(g, a, b, "follows", {"since": "1"}, undirected)
         g = dml.add_edge(g, a, b, "follows", {"since": "2"}, undirected)
         g = dml.add_edge(g, a, -99, "follows", {}, undirected)
@@ -188,8 +188,8 @@ def _add_edge(undirected: bool):
     return run
 
 
-_query("dml_add_edge", f" SELECT {FRIENDLY} AS src, {AUTHOR} AS dst, 'follows' AS label, '1' AS since, false AS is_reverse")(_add_edge(False))
-_query("dml_add_edge_undirected", f" SELECT {FRIENDLY} AS src, {AUTHOR} AS dst, 'follows' AS label, '1' AS since, false AS is_reverse UNION ALL SELECT {AUTHOR}, {FRIENDLY}, 'follows', '1', true")(_add_edge(True))
+_query("dml_add_edge", f" SELECT {FRIENDLY} AS src, {POPULAR} AS dst, 'follows' AS label, '1' AS since, false AS is_reverse")(_add_edge(False))
+_query("dml_add_edge_undirected", f" SELECT {FRIENDLY} AS src, {POPULAR} AS dst, 'follows' AS label, '1' AS since, false AS is_reverse UNION ALL SELECT {POPULAR}, {FRIENDLY}, 'follows', '1', true")(_add_edge(True))
 
 
 def _after(g: PropertyGraph) -> DataFrame:
@@ -198,8 +198,8 @@ def _after(g: PropertyGraph) -> DataFrame:
 
 _AFTER = " SELECT label, count(*) AS n, sum(src)::BIGINT AS src_sum, sum(dst)::BIGINT AS dst_sum FROM e WHERE {0} GROUP BY 1"
 _query("dml_rm_vertex", _AFTER.format(f"src <> {FRIENDLY} AND dst <> {FRIENDLY}"))(lambda g: _after(dml.rm_vertex(g, _hub(g, "knows", "src"))))
-_query("dml_rm_edge", _AFTER.format(f"NOT ((src, dst) = {_pair_sql('knows')})"))(lambda g: _after(dml.rm_edge(g, *_pair(g, "knows"))))
-_query("dml_rm_edge_label", _AFTER.format(f"NOT (label = 'likes' AND (src, dst) = {_pair_sql('likes')})"))(lambda g: _after(dml.rm_edge(g, *_pair(g, "likes"), "likes")))
+_query("dml_rm_edge", _AFTER.format(f"NOT ((src, dst) IN {_pair_sql('knows')})"))(lambda g: _after(dml.rm_edge(g, *_pair(g, "knows"))))
+_query("dml_rm_edge_label", _AFTER.format(f"NOT (label = 'likes' AND (src, dst) IN {_pair_sql('likes')})"))(lambda g: _after(dml.rm_edge(g, *_pair(g, "likes"), "likes")))
 _query("prune_dangling", _AFTER.format(f"NOT ({_is('Tag', 'dst')}) AND NOT ({_is('Tag', 'src')})"))(lambda g: _after(dml.prune(PropertyGraph(g.vertices.filter(~F.array_contains("labels", "Tag")), g.edges))))
 
 # interactive queries
