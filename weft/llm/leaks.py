@@ -80,8 +80,11 @@ class ItemIndex:
     place: np.ndarray
     prints: np.ndarray
     words: dict[int, list[str]]
-    blocks: list[tuple[np.ndarray, ...]]
     weight: dict[tuple[str, ...], float]
+    blocks: list[tuple[np.ndarray, ...]] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"blocks": None}  # made anew on each worker: larger than what they are made from
 
     @classmethod
     def build(cls, items: list[tuple[int, str]], run: int, radius: int) -> ItemIndex:
@@ -102,7 +105,7 @@ class ItemIndex:
             for s in {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}:
                 df[s] = df.get(s, 0) + 1
         weight = {s: float(np.log(1 + len(words) / n)) for s, n in df.items()}
-        return cls(run, radius, item, place, prints, words, cls._blocks(prints, radius), weight)
+        return cls(run, radius, item, place, prints, words, weight)
 
     @staticmethod
     def _edges(radius: int) -> list[tuple[int, int]]:
@@ -116,9 +119,9 @@ class ItemIndex:
             keys = cls._key(prints, shift, width)
             order = np.argsort(keys, kind="stable")
             # narrow blocks are looked up by their value, wide ones among the sorted values that occur
-            values = np.arange(1 << width, dtype=np.uint64) if width <= 22 else np.unique(keys)
-            start = np.append(np.searchsorted(keys[order], values), len(keys))
-            out.append((values, start, np.append(np.diff(start), 0), order))
+            values = np.unique(keys) if width > 22 else None
+            start = np.searchsorted(keys[order], np.arange(1 << width, dtype=np.uint64) if values is None else values)
+            out.append((values, np.append(start, len(keys)).astype(np.int32), order))
         return out
 
     @staticmethod
@@ -127,17 +130,19 @@ class ItemIndex:
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``prints`` and in the index of all pairs within the radius."""
+        if not len(self.prints):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        if self.blocks is None:
+            self.blocks = self._blocks(self.prints, self.radius)
         left, right = [], []
-        for (shift, width), (values, start, size, order) in zip(self._edges(self.radius), self.blocks, strict=True):
-            if not len(values):
-                continue
+        for (shift, width), (values, start, order) in zip(self._edges(self.radius), self.blocks, strict=True):
             keys = self._key(prints, shift, width)
-            if width <= 22:
+            if values is None:
                 at = keys.astype(np.int64)
+                sizes = start[at + 1] - start[at]
             else:
                 at = np.minimum(np.searchsorted(values, keys), len(values) - 1)
-                at = np.where(values[at] == keys, at, len(values))
-            sizes = size[at]
+                sizes = np.where(values[at] == keys, start[at + 1] - start[at], 0)
             hit = np.flatnonzero(sizes)
             sizes = sizes[hit]
             for a in _slices(sizes, 4_000_000):
