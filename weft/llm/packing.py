@@ -23,7 +23,7 @@ from weft.session import stage
 
 TOKENIZERS = os.environ.get("WEFT_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: how the byte-level vocabulary splits text before merging.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_ITEMS = 50_000
 
 
