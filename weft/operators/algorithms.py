@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weft.operators.graph import PropertyGraph
@@ -63,8 +63,8 @@ def aggregate_messages(edges: DataFrame, state: DataFrame, message: Column, comb
 def pagerank(graph: PropertyGraph, iterations: int = 100, tolerance: float | None = 1e-7, damping: float = 0.85) -> tuple[DataFrame, float, int]:
     """Ranks (vid, rank), the last residual and the number of rounds.
 
-    All edges count, parallel ones each. Teleport and dangling mass are spread evenly; the residual is the L1 distance before
-    rescaling. With ``tolerance`` None exactly ``iterations`` rounds run.
+    All edges count, parallel ones each. Teleport and dangling mass are spread evenly; the residual is the L1 distance of
+    the last two rounds. Ranks sum to 1 but for rounding, which is taken out at the end. With ``tolerance`` None exactly ``iterations`` rounds run.
     """
     v = graph.vertices.select("vid")
     n = v.count()
@@ -72,18 +72,21 @@ def pagerank(graph: PropertyGraph, iterations: int = 100, tolerance: float | Non
         return v.withColumn("rank", F.lit(0.0)), 0.0, 0
     out = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     e = _State(graph.edges.select("src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(out, "src").select("src", "dst", (F.lit(damping) * F.col("k") / F.col("d")).alias("w")), "pr-edges").df
-    x = _State(v.withColumn("rank", F.lit(1.0 / n)), "pr")
-    delta, done = 2.0, 0
+    # a round's state is (vid, old, y) with the new rank y + spare; spare comes with the job that writes y
+    y = _State(v.select("vid", F.lit(0.0).alias("old"), F.lit(1.0 / n).alias("y")), "pr")
+    spare, delta, done = 0.0, 2.0, 0
     while done < iterations and (tolerance is None or delta > tolerance):
-        got = e.join(x.df.withColumnRenamed("vid", "src"), "src").groupBy(F.col("dst").alias("vid")).agg(F.sum(F.col("w") * F.col("rank")).alias("y"))
-        y = _State(x.df.join(got, "vid", "left").select("vid", F.col("rank").alias("old"), F.coalesce("y", F.lit(0.0)).alias("y")), "pr-y")
-        spare = (1.0 - y.df.agg(F.sum("y")).first()[0]) / n
-        new = F.col("y") + F.lit(spare)
-        delta, whole = y.df.agg(F.sum(F.abs(F.col("old") - new)), F.sum(new)).first()
-        x.set(y.df.select("vid", (new / F.lit(whole)).alias("rank")))
-        remove(y.spark, y.path)
+        x = y.df.select("vid", (F.col("y") + F.lit(spare)).alias("rank"))
+        got = e.join(x.withColumnRenamed("vid", "src"), "src").groupBy(F.col("dst").alias("vid")).agg(F.sum(F.col("w") * F.col("rank")).alias("y"))
+        seen = Observation()
+        y.set(x.join(got, "vid", "left").select("vid", F.col("rank").alias("old"), F.coalesce("y", F.lit(0.0)).alias("y")).observe(seen, F.sum("y").alias("y")))
+        spare = (1.0 - seen.get["y"]) / n
+        if tolerance is not None:
+            delta = y.df.agg(F.sum(F.abs(F.col("old") - F.col("y") - F.lit(spare)))).first()[0]
         done += 1
-    return x.df, float(delta), done
+    new = F.col("y") + F.lit(spare)
+    whole, delta = y.df.agg(F.sum(new), F.sum(F.abs(F.col("old") - new))).first()
+    return y.df.select("vid", (new / F.lit(whole)).alias("rank")), float(delta), done
 
 
 def wcc(graph: PropertyGraph) -> DataFrame:
