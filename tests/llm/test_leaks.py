@@ -68,7 +68,7 @@ def test_no_pair_within_the_radius_is_missed(radius):
     for i in range(len(near)):
         for bit in rng.choice(64, rng.integers(0, 9), replace=False):
             near[i] ^= np.uint64(1) << np.uint64(bit)
-    index = leaks.ItemIndex(10, radius, np.arange(300), np.zeros(300, dtype=np.int64), base, {}, {})
+    index = leaks.ItemIndex(10, radius, np.arange(300), np.zeros(300, dtype=np.int64), base, {}, {}, list(range(300)))
     left, right = index.candidates(near)
     distance = np.bitwise_count(near[:, None] ^ base[None, :])
     assert set(zip(left.tolist(), right.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(distance <= radius))))

@@ -72,7 +72,7 @@ class Signs:
 
 @dataclass
 class ItemIndex:
-    """Windows of the items: item and place of each, their fingerprints, and one sorted table for each block of bits."""
+    """Windows of the items: row and place of each, their fingerprints, and one sorted table for each block of bits."""
 
     run: int
     radius: int
@@ -81,6 +81,7 @@ class ItemIndex:
     prints: np.ndarray
     words: dict[int, list[str]]
     weight: dict[tuple[str, ...], float]
+    ids: list[int]
     blocks: list[tuple[np.ndarray, ...]] | None = None
 
     def __getstate__(self) -> dict:
@@ -89,7 +90,7 @@ class ItemIndex:
     @classmethod
     def build(cls, items: list[tuple[int, str]], run: int, radius: int) -> ItemIndex:
         signs, item, place, prints, words = Signs(), [], [], [], {}
-        for k, text in items:
+        for k, (_, text) in enumerate(items):
             w = words_of(text)
             f = signs.fingerprints(signs.rows(w), run)
             if len(f):
@@ -105,7 +106,7 @@ class ItemIndex:
             for s in {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}:
                 df[s] = df.get(s, 0) + 1
         weight = {s: float(np.log(1 + len(words) / n)) for s, n in df.items()}
-        return cls(run, radius, item, place, prints, words, weight)
+        return cls(run, radius, item, place, prints, words, weight, [k for k, _ in items])
 
     @staticmethod
     def _edges(radius: int) -> list[tuple[int, int]]:
@@ -231,7 +232,8 @@ def _page_batch(pages: list[tuple[int, list[str]]], index: ItemIndex, signs: Sig
         if score < least:
             continue
         distance = int(prints[a] ^ index.prints[b]).bit_count()
-        old = best.setdefault((j, k), [0, 64, 0.0, False])
+        k = index.ids[k]
+        old = best.get((j, k), [0, 64, 0.0, False])
         best[(j, k)] = [old[0] + 1, min(old[1], distance), max(old[2], score), old[3] or same]
     out: list[list] = [[], [], [], [], [], []]
     for (j, k), v in best.items():
