@@ -66,28 +66,28 @@ def reach(n, edges):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_graphs(spark, seed):
-    rng = random.Random(seed)
+def test_random_graphs(spark):
+    rng = random.Random(1)
     n = 24
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(28)]
     g = graph(spark, range(n), edges)
     assert {r["vid"]: r["component"] for r in A.wcc(g).collect()} == union_find(n, edges)
     r = reach(n, edges)
     assert {x["vid"]: x["component"] for x in A.scc(g).collect()} == {i: max(j for j in r[i] if i in r[j]) for i in range(n)}
-    ranks, delta, rounds = A.pagerank(g, 30, None)
+    ranks, delta, rounds = A.pagerank(g, 6, None)
     x = [1 / n] * n
     outs = [sum(a == i for a, _ in edges) for i in range(n)]
-    for _ in range(30):
+    for _ in range(6):
         y = [0.0] * n
         for a, b in edges:
             y[b] += 0.85 * x[a] / outs[a]
         spare = (1 - sum(y)) / n
         x = [v + spare for v in y]
     got = {q["vid"]: q["rank"] for q in ranks.collect()}
-    assert rounds == 30 and all(abs(got[i] - x[i]) < 1e-9 for i in range(n)) and abs(sum(got.values()) - 1) < 1e-9
-    assert A.pagerank(g)[1] <= 1e-7
-    chain = graph(spark, range(40), [(i, i + 1) for i in range(39)])
+    assert rounds == 6 and all(abs(got[i] - x[i]) < 1e-9 for i in range(n)) and abs(sum(got.values()) - 1) < 1e-9
+    _, delta, rounds = A.pagerank(g, tolerance=0.05)
+    assert delta <= 0.05 and 0 < rounds < 20
+    chain = graph(spark, range(12), [(i, i + 1) for i in range(11)])
     assert A.wcc(chain).select("component").distinct().count() == 1
 
 

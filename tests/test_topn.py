@@ -13,12 +13,12 @@ def brute(rows, n):
     for g, s, t in set(rows):
         if g is not None and s is not None:
             by.setdefault(g, []).append((-s, t is not None, t or 0, t))
-    return {(g, x[3]) for g, v in by.items() for x in sorted(v)[:n]}
+    return {(g, -x[0], x[3]) for g, v in by.items() for x in sorted(v)[:n]}
 
 
 def run(spark, rows, n, share):
     df = spark.createDataFrame([(*r, 0, "") for r in rows], DDL)
-    got = [(r["g"], r["t"]) for r in top_n(df, "g", "s", "t", n, share, 4).collect()]
+    got = [(r["g"], r["s"], r["t"]) for r in top_n(df, "g", "s", "t", n, share, 4).collect()]
     assert len(got) == len(set(got))
     return set(got)
 
