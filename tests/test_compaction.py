@@ -33,6 +33,11 @@ def test_forms_of_bodies_and_copies(spark):
     assert len(got) == 3
 
 
+def test_names_in_any_order_and_case(spark):
+    got = consolidated(files(spark, [("Post", 1, "personId|CONTENT|id|creationDate\r\n3|hi|1|5\r\n"), ("Post", 1, "2|5|plain|4")])).collect()
+    assert {r["id"]: r["fields"] for r in got} == {1: {"personId": "3", "content": "hi", "creationDate": "5"}, 2: {"personId": "4", "content": "plain", "creationDate": "5"}}
+
+
 def test_sizes_and_swap(spark, tmp_path):
     out = f"file://{tmp_path}/out"
     bodies = [("Person", i % 3, "\n".join(f"{k}|5|name{k}|x" for k in range(i * 20, i * 20 + 40))) for i in range(60)]

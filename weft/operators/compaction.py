@@ -27,12 +27,24 @@ _FIELDS = pa.map_(pa.string(), pa.string())
 TARGET_BYTES = 128 << 20
 
 
-def records_of(body: str, names: tuple[str, ...]) -> Iterator[list[str]]:
-    """The records of a file's body: byte order mark, column names and blank lines removed."""
+def records_of(body: str, names: tuple[str, ...]) -> Iterator[dict[str, str]]:
+    """The records of a file's body, by column name.
+
+    A first line made of the entity's column names, in any order and case, gives the columns' order; otherwise it is that of
+    ``names``. A byte order mark, blank lines and records with another number of fields are passed over.
+    """
     rows = csv.reader(io.StringIO(body.removeprefix("\ufeff"), newline=""), delimiter="|", quotechar='"', doublequote=True)
+    known = {n.lower(): n for n in names}
+    columns = list(names)
+    first = True
     for row in rows:
-        if row and row != list(names) and row != [""]:
-            yield row
+        if not row or row == [""]:
+            continue
+        if first and sorted(f.strip().lower() for f in row) == sorted(known):
+            columns = [known[f.strip().lower()] for f in row]
+        elif len(row) == len(names):
+            yield dict(zip(columns, row, strict=True))
+        first = False
 
 
 def parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,16 +57,14 @@ def parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = ENTITY_COLUMNS.get(entity or "")
             if names is None or not body:
                 continue
-            for row in records_of(body, names):
-                if len(row) != len(names):
-                    continue
-                record = dict(zip(names, row, strict=True))
+            for record in records_of(body, names):
+                size = sum(map(len, record.values())) + len(record)
                 vid = record.pop("id")
                 if not (vid.isascii() and vid.isdigit() and int(vid) < 1 << 63):
                     continue
                 key, version = (entity, int(vid)), (written if written is not None else -1, path)
                 if key not in best or best[key][:2] < version:
-                    best[key] = (*version, record, sum(len(v) for v in row) + len(row))
+                    best[key] = (*version, record, size)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([k[0] for k in best], pa.string()),
