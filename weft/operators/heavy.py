@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def heavy_keys(rows: DataFrame, keys: list[str], share: float, at_least: int = 2, weight: str | None = None) -> DataFrame:
-    """``keys`` and ``n`` of those with at least ``share`` of all rows and ``at_least`` rows, by exact count.
+    """``keys`` and ``__n`` of those with at least ``share`` of all rows and ``at_least`` rows, by exact count.
 
     ``weight`` names a column of counts where ``rows`` is counted already. No more than ``1 / share`` rows come out, held
     by the driver and meant to be broadcast.
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    total = rows.agg(F.coalesce(n, F.lit(0)).alias("n")).first()["n"]
-    counts = rows.groupBy(*keys).agg(n.alias("n"))
-    found = counts.filter(F.col("n") >= max(at_least, share * total))
+    total = rows.agg(F.coalesce(n, F.lit(0)).alias("__n")).first()["__n"]
+    counts = rows.groupBy(*keys).agg(n.alias("__n"))
+    found = counts.filter(F.col("__n") >= max(at_least, share * total))
     return rows.sparkSession.createDataFrame(found.collect(), found.schema)
