@@ -94,7 +94,16 @@ reasons AS (
   SELECT *, CASE WHEN NOT quoted_well THEN 'quoting' WHEN len(f) <> n THEN 'columns'
     WHEN vid IS NULL OR created IS NULL OR created < {rejects.MIN_DATE} OR created >= {rejects.END_DATE} THEN 'value' END AS reason FROM typed)"""
 
+_BODIES = f"""
+layout(entity, names) AS (VALUES {", ".join(f"('{k}', {[c.lower() for c in v]})" for k, v in rejects.ENTITY_COLUMNS.items())}),
+records AS (
+  SELECT entity, names, regexp_extract_all(body, '(?:"(?:[^"]|"")*"|[^"\\r\\n\\x{{FEFF}}])+') AS r FROM (SELECT split_part(path, '/', 3) AS entity, body FROM part_files) JOIN layout USING (entity)),
+headed AS (SELECT *, coalesce(list_sort(string_split(lower(r[1]), '|')) = list_sort(names), false) AS has FROM records),
+parts AS (SELECT entity, list_position(CASE WHEN has THEN string_split(lower(r[1]), '|') ELSE names END, 'id') AS i, len(names) AS n, unnest(CASE WHEN has THEN r[2:] ELSE r END) AS s FROM headed),
+cells AS (SELECT entity, n, i, regexp_extract_all('|' || s, '\\|("(?:[^"]|"")*"|[^|]*)', 1) AS f FROM parts)"""
+
 ORACLE = {
+    "p5_found": f"WITH {_BODIES} SELECT DISTINCT entity, TRY_CAST(trim(f[i], chr(34)) AS BIGINT) AS id FROM cells WHERE len(f) = n AND TRY_CAST(trim(f[i], chr(34)) AS BIGINT) IS NOT NULL",
     "p1_found": f"WITH {_LINES} SELECT DISTINCT file_name, line_no, reason FROM reasons WHERE reason IS NOT NULL",
     "p1_vertices": f"""WITH {_LINES} SELECT file_name, line_no, vid, CASE WHEN entity IN ('Post', 'Comment') THEN entity || ',Message' ELSE entity END AS labels, created AS "creationDate" FROM reasons WHERE reason IS NULL""",
     "p2_found": f"WITH {_ORPHAN_ENDS} SELECT edge_id, endpoint, reason FROM found WHERE reason IS NOT NULL",
