@@ -51,6 +51,26 @@ def test_recall_and_precision_on_made_pages(spark):
     assert len(set(found) & bad) >= 0.95 * len(bad) and len(set(found) - bad) <= 2
 
 
+def test_copies_of_a_list_are_no_menu(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    listed = "\n".join(" ".join(rng.sample(words, 2)) for _ in range(30))
+    rows = [(i, "en", "Home\nContact\n" + prose(rng, rng.randrange(3, 30))) for i in range(200)]
+    copies = [(i, "en", f"Home\nContact\n{listed}\nMirror of this page.\nLast change: {i}, by {rng.choice(words)}") for i in range(200, 300)]
+    other = [(300, "en", " ".join(rng.choice(words) for _ in range(80)))]
+    df = spark.createDataFrame([(*r, 0, 0.0) for r in rows + copies + other], DDL)
+    assert set(spam.recurring_lines(df)) == {"Home", "Contact"}
+    assert {r["doc_id"] for r in spam.find_spam(df).collect()} == set(range(200, 301))
+
+
+def test_a_line_is_left_out_as_a_run_of_whole_entries_only():
+    reader = spam.Reader(["Home", "About us", "Last change: 2023"])
+    left = lambda text: [low for low, _ in reader.lines(text)[0]]
+    assert left("Home | About us\nOnes own words.") == ["ones own words."]
+    assert left("Us home.\nAbout home.\nHome home.") == ["us home.", "about home.", "home home."]
+    assert len(left("\n".join(f"Home {c}bout us." for c in "aAaA"))) == 3
+
+
 def test_curves_are_least_squares(spark):
     counts = Counter("a a a a b b c c d e f".split())
     n = sum(counts.values())

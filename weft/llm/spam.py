@@ -1,6 +1,6 @@
 """Keyword-stuffed pages, link lists and tag lists, by rank-frequency curves and divergence from prose.
 
-1. Lines that recur over the corpus (menus, cookie notices) are counted over distinct texts and left out with the footer and title.
+1. Lines that recur over the corpus (menus, cookie notices) are counted over distinct page bodies and left out with the footer and title.
 2. Each page's words give a frequency spectrum; SQL windows turn it into a rank-frequency curve, to which a line is fitted
    in log-log space. Slope, residual and the share of the first rank are compared with pages of the same
    language and like length; a page far outside is *extreme*.
@@ -42,6 +42,7 @@ _TELLING = frozenset(x for g, f in _FUNCTION.items() for x in f if len(x) > 1 or
 _WORD = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]|[^\W\d_]+")
 _LINK = re.compile(r"https?://\S+|www\.\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}\b(?:/\S*)?")
 _SENTENCE = re.compile(r"[.!?…]+(?=\s|$)|[。！？]+")
+_BREAK = r"(?<=[.!?…。！？])\s*"
 _CLOSED = re.compile(r"[.!?…。！？][\"'»”)\]]*$")
 #: A line of more words than this is judged by its sentences.
 LINE_WORDS = 12
@@ -49,15 +50,28 @@ LINE_WORDS = 12
 NOTICE_CHARS = 120
 
 
-def recurring_lines(pages: DataFrame, share: float = 0.0002, at_least: int = 8) -> list[str]:
-    """Short lines found in at least ``share`` of the distinct texts: a number bounded by the lines of a page over ``share``."""
+def recurring_lines(pages: DataFrame, share: float = 0.001) -> list[str]:
+    """Short lines found with at least ``share`` of the texts' number of distinct bodies (two at least).
+
+    A text's body is what does not recur in it, lines above ``NOTICE_CHARS`` taken sentence by sentence. Copies differing in a footer
+    have hardly any body left, as all they share recurs; texts with less body than a quarter of their characters count for no line.
+    The share is above that of a notice read in one wrong encoding: left out as it stands, it would hide that its page can be put right.
+    """
     texts = pages.select("text").filter(F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
-    total = texts.agg(F.count_distinct("h").alias("n")).first()["n"]
-    each = F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))))
-    lines = texts.select("h", each.alias("line")).filter(F.length("line").between(1, NOTICE_CHARS)).withColumn("k", F.xxhash64("line"))
-    # counted by hashes alone; the few that recur are then looked up
-    often = lines.select("h", "k").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(at_least, share * total)).select("k")
-    return [r["line"] for r in lines.join(F.broadcast(often), "k", "left_semi").select("line").distinct().collect()]
+    limit = max(2, share * texts.agg(F.count_distinct("h").alias("n")).first()["n"])
+    lines = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))
+    unit = lambda x, notice: F.struct(F.xxhash64(x, F.lit(notice)).alias("k"), F.length(x).alias("n"), F.lit(notice).alias("notice"))
+    each = F.transform(lines, lambda x: F.when(F.length(x) <= NOTICE_CHARS, F.array(unit(x, True))).otherwise(F.transform(F.split(x, _BREAK), lambda y: unit(y, False))))
+    units = stage(texts.select("h", F.explode(F.flatten(each)).alias("u")).select("h", "u.*").filter(F.col("n") > 0).distinct(), "units")
+    # counted by hashes alone; no more than the lines of a text over ``share`` recur
+    often = stage(units.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit).select("k", F.lit(True).alias("often")), "often")
+    own = F.col("often").isNull()
+    parts = units.join(F.broadcast(often), "k", "left").groupBy("h").agg(F.sum("n").alias("all"), F.sum(F.when(own, F.col("n"))).alias("own"), F.bit_xor(F.when(own, F.col("k"))).alias("body"))
+    bodies = parts.filter(F.col("own") * 4 >= F.col("all")).select("h", "body")
+    shown = units.filter("notice").join(F.broadcast(often), "k", "left_semi").join(bodies, "h").select("k", "body").distinct()
+    kept = shown.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit).select("k")
+    found = texts.select(F.explode(lines).alias("line")).filter(F.length("line").between(1, NOTICE_CHARS)).withColumn("k", F.xxhash64("line", F.lit(True)))
+    return [r["line"] for r in found.join(F.broadcast(kept), "k", "left_semi").select("line").distinct().collect()]
 
 
 class Reader:
@@ -65,19 +79,32 @@ class Reader:
 
     def __init__(self, recurring: list[str]) -> None:
         self.recurring = frozenset(recurring)
-        short = [_WORD.findall(s.lower()) for s in recurring]
-        self.menu = frozenset(w for s in short if len(s) <= 3 for w in s)
+        self.entries = frozenset(e for s in recurring if 1 <= len(e := tuple(_WORD.findall(s.lower()))) <= 3)
+
+    def _run(self, words: list[str], taken: frozenset[tuple[str, ...]]) -> frozenset[tuple[str, ...]] | None:
+        """``taken`` with the entries ``words`` are a run of; None if they are none, or one of entries taken before."""
+        if not words:
+            return taken
+        for k in range(min(3, len(words)), 0, -1):
+            entry = tuple(words[:k])
+            if entry in self.entries and entry not in taken and (rest := self._run(words[k:], taken | {entry})) is not None:
+                return rest
+        return None
 
     def lines(self, text: str) -> tuple[list[tuple[str, list[str]]], int]:
         """The page's own lines, in lower case and as words, and the number of words left out."""
-        out, left_out = [], 0
+        out, left_out, taken = [], 0, frozenset()
         for raw in text.split("\n"):
             line = raw.strip()
             if not line:
                 continue
             low = line.lower()
             words = _WORD.findall(low)
-            if line in self.recurring or line[0] == "©" or self.menu.issuperset(words):
+            if line in self.recurring or line[0] == "©":
+                left_out += len(words)
+            elif len(line) <= NOTICE_CHARS and (run := self._run(words, taken)) is not None:
+                # a menu names an entry once, keywords come again
+                taken = run
                 left_out += len(words)
             else:
                 out.append((low, words))
