@@ -34,6 +34,17 @@ def test_toy_counts(spark):
     assert {r["vid"]: r["idx"] for r in g.dense_ids().collect()} == {i: i - 1 for i in range(1, 8)}
 
 
+def test_queries_run_on_the_whole_graph(spark, monkeypatch):
+    from weft.plans import graph as P
+
+    monkeypatch.setattr(P, "social_graph", lambda spark, sf_dir: toy(spark))
+    monkeypatch.setitem(A._registry, "pagerank", lambda g: g.edges.agg(F.count(F.lit(1)).cast("double").alias("result")))
+    run = lambda name: P.QUERIES[name](spark, "")
+    got = {r["algorithm"]: r["result"] for r in run("algorithm_runner").collect()}
+    assert got == {"pagerank": 6, "wcc": 3, "scc": 5, "bfs": 4}
+    assert run("pagerank_residual").first()[0] == 6 and run("whole_wcc_labels").count() == 7
+
+
 def test_empty_graph(spark):
     g = graph(spark, [], [])
     assert g.summary().first()["num_vertices"] == 0 and g.vertex(0).count() == 0 and g.preview().count() == 0

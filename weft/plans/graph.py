@@ -265,7 +265,7 @@ def _ranked(g: PropertyGraph) -> PropertyGraph:
 
 
 _query("pagerank", _RANKED, recursive=True)(lambda g: A.pagerank(_ranked(g), 20, None)[0].select("vid", F.round("rank", 8).alias("rank")))
-_query("pagerank_residual", None)(lambda g: A.run_algorithm(_ranked(g), "pagerank"))
+_query("pagerank_residual", None)(lambda g: A.run_algorithm(g, "pagerank"))
 
 _REPLIES = ", re AS (SELECT src, dst FROM e WHERE label = 'replyOf'), n AS (SELECT src AS vid FROM re UNION SELECT dst FROM re)"
 _WCC = f"""{_REPLIES}, sym AS (SELECT src, dst FROM re UNION SELECT dst, src FROM re),
@@ -301,8 +301,8 @@ _query("bfs_reachable_count", f"{_BFS} SELECT count(*)::DOUBLE AS result FROM lv
 
 def _runner(g: PropertyGraph) -> DataFrame:
     out = None
-    for name in ("wcc", "scc", "bfs"):
-        one = A.run_algorithm(_replies(g), name).select(F.lit(name).alias("algorithm"), "result")
+    for name in sorted(A.algorithm_table()):
+        one = A.run_algorithm(g, name).select(F.lit(name).alias("algorithm"), "result")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -314,6 +314,19 @@ _query("post_query_pagerank", _RANKED.replace("SELECT src, dst FROM e WHERE labe
     lambda g: A.pagerank(_replies(g), 20, None)[0].select("vid", F.round("rank", 8).alias("rank"))
 )
 
+# algorithms on the whole graph: every vertex, every edge of every label. DuckDB cannot follow its strongly connected components.
+
+_ALL = ", re AS (SELECT src, dst FROM e), n AS (SELECT vid FROM v)"
+_WCC_ALL, _MIN_ALL, _BFS_ALL = _WCC.replace(_REPLIES, _ALL), _MIN.replace(_REPLIES, _ALL), _BFS.replace(" AND e.label = 'knows'", "")
+_query("whole_pagerank", _RANKED.replace(" WHERE label IN ('knows', 'isLocatedIn', 'isPartOf')", "").replace(" WHERE tab IN ('person', 'place')", ""), recursive=True)(lambda g: A.pagerank(g, 20, None)[0].select("vid", F.round("rank", 8).alias("rank")))
+_query("whole_wcc_labels", f"{_WCC_ALL} SELECT id AS vid, lbl AS component FROM cc", recursive=True)(lambda g: A.wcc(g))
+_query("whole_wcc_count", f"{_WCC_ALL} SELECT count(DISTINCT lbl)::DOUBLE AS result FROM cc", recursive=True)(lambda g: A.run_algorithm(g, "wcc"))
+_query("whole_directed_min_label", _MIN_ALL, recursive=True)(lambda g: A.directed_min_label(g).select("vid", "label"))
+_query("whole_scc_labels", None)(lambda g: A.scc(g))
+_query("whole_scc_count", None)(lambda g: A.run_algorithm(g, "scc"))
+_query("whole_bfs_levels", f"{_BFS_ALL} SELECT id AS vid, d AS level FROM lv", recursive=True)(lambda g: A.bfs(g, _hub(g, "knows", "src")))
+_query("whole_bfs_reachable_count", f"{_BFS_ALL} SELECT count(*)::DOUBLE AS result FROM lv", recursive=True)(lambda g: A.run_algorithm(g, "bfs", source=_hub(g, "knows", "src")))
+
 # loading and replay
 
 _query("load_vertices", " SELECT vid, count(*) AS labels, (SELECT count(*) FROM vp WHERE vp.vid = vl.vid AND value IS NOT NULL) AS properties FROM vl GROUP BY 1")(
