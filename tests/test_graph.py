@@ -129,6 +129,16 @@ def test_patterns(spark):
     assert {r["vid"] for r in g.vertices_where((F.col("outdegree") == 0) & (F.col("indegree") == 1)).collect()} == {5, 7}
 
 
+def test_a_root_may_be_any_number_of_replies_away(spark):
+    from weft.operators import snb
+
+    message = lambda i, label: (i, [label, "Message"], {"creationDate": str(i)})
+    v = [(1, ["Person"], {"firstName": "A", "lastName": "B"}), message(100, "Post")] + [message(i, "Comment") for i in (*range(101, 116), 201, 202)]
+    e = [(116 - 1, 1, "hasCreator"), (202, 1, "hasCreator"), (100, 1, "hasCreator"), (201, 202, "replyOf"), (202, 201, "replyOf")] + [(i, i - 1, "replyOf") for i in range(101, 116)]
+    g = PropertyGraph(spark.createDataFrame(v, VERTEX_DDL), spark.createDataFrame([(*x, {}, False, False) for x in e], EDGE_DDL))
+    assert {r["messageId"]: (r["postId"], r["personId"]) for r in snb.person_messages(g, 1).collect()} == {115: (100, 1), 100: (100, 1), 202: (None, None)}
+
+
 def test_catalog_and_rollback(spark, tmp_path):
     from weft.operators.changelog import CHANGE_DDL
 

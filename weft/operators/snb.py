@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weft.functions.props import prop
 from weft.operators import dml
 from weft.operators.graph import PropertyGraph
+from weft.session import stage
 
 
 def _people(g: PropertyGraph, key: str, **names: str) -> DataFrame:
@@ -46,20 +47,23 @@ def recent_replies(g: PropertyGraph, person: int, n: int = 20) -> DataFrame:
     )
 
 
-def person_messages(g: PropertyGraph, person: int, n: int = 10, depth: int = 12) -> DataFrame:
+def person_messages(g: PropertyGraph, person: int, n: int = 10) -> DataFrame:
     """IS2: a person's newest messages with the post each thread began with and its author.
 
-    The root is the nearest post within ``depth`` replies, the smaller id where several are as near; without one, as where its
-    author is unknown, the columns are null.
+    The root is the nearest post, however many replies away, the smaller id where several are as near; without one, as where its
+    author is unknown, the columns are null. The walk ends where it meets no message it has not met before.
     """
     top = _creators(g).filter(F.col("creator") == person).select("message").join(_messages(g, "message"), "message").orderBy(F.col("date").desc_nulls_last(), F.col("message").desc()).limit(n).select("message", "date")
     posts = g.with_label("Post").select(F.col("vid").alias("at"))
     reply = g.edges_of("replyOf").select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    here = top.select("message", F.col("message").alias("at"))
-    walked = here.withColumn("hops", F.lit(0))
-    for hop in range(1, depth + 1):
-        here = here.join(reply, "at").select("message", F.col("next").alias("at")).distinct()
-        walked = walked.unionByName(here.withColumn("hops", F.lit(hop)))
+    here = stage(top.select("message", F.col("message").alias("at"), F.lit(0).alias("hops")), "is2")
+    walked, hop = here, 0
+    # a message has few parents, so a step of the ten threads is a few rows
+    while here.limit(1).count():
+        hop += 1
+        new = here.join(reply, "at").select("message", F.col("next").alias("at")).distinct().join(walked, ["message", "at"], "left_anti")
+        here = stage(new.withColumn("hops", F.lit(hop)), "is2")
+        walked = walked.unionByName(here)
     roots = walked.join(posts, "at", "left_semi").groupBy("message").agg(F.min(F.struct("hops", "at")).alias("r")).select("message", F.col("r.at").alias("postId"))
     author = _creators(g).select(F.col("message").alias("postId"), "creator").join(_people(g, "creator", first="firstName", last="lastName"), "creator")
     return top.join(roots, "message", "left").join(author, "postId", "left").select(
