@@ -71,6 +71,13 @@ def test_a_line_is_left_out_as_a_run_of_whole_entries_only():
     assert len(left("\n".join(f"Home {c}bout us." for c in "aAaA"))) == 3
 
 
+def test_prose_words_are_counted_over_all_seed_pages(spark):
+    rows = [(i, "the" + " w" * (i % 7 + i // 1000)) for i in range(2500)]
+    measured = spark.createDataFrame([(i, "en", 0.5, False) for i, _ in rows], "doc_id bigint, lang string, share double, extreme boolean")
+    words, usual = spam.prose_words(spark.createDataFrame(rows, "doc_id bigint, text string"), measured, [])
+    assert words == {"the"} and abs(usual["en"] - 2500 / sum(len(t.split()) for _, t in rows)) < 1e-12
+
+
 def test_curves_are_least_squares(spark):
     counts = Counter("a a a a b b c c d e f".split())
     n = sum(counts.values())

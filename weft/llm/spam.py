@@ -6,7 +6,7 @@
    language and like length; a page far outside is *extreme*.
 3. Extreme pages that also lack their language's function words are the seed of what is not prose; pages that are
    neither are the seed of prose. Words several times as frequent in prose as in the other are the
-   language's prose words, fitted on a bounded number of seed pages (``fit_pages`` per language and class).
+   language's prose words, counted over all seed pages.
 4. A page's divergence is the share of its words that stand in lines or sentences without their share of prose words.
    It is found for every page; above one half, the page is spam.
 """
@@ -226,18 +226,18 @@ def _counts(recurring: list[str]):
     return run
 
 
-def prose_words(pages: DataFrame, measured: DataFrame, recurring: list[str], fit_pages: int = 2000, ratio: float = 3.0) -> tuple[frozenset[str], dict[str, float]]:
+def prose_words(pages: DataFrame, measured: DataFrame, recurring: list[str], ratio: float = 3.0) -> tuple[frozenset[str], dict[str, float]]:
     """Words at least ``ratio`` times as frequent in prose as in its opposite, and their share of each language's prose.
 
-    Fitted on ``fit_pages`` seed pages of each language and class. Where the other class is too small to tell, only the
+    Counted over all seed pages. Where the other class is too small to tell, only the
     language's function words are taken. A word must stand in 1 % of the prose pages, so no more than 100 times the words of
     a page come out for a language.
     """
     lacking = F.col("share") < 0.03
     seeds = measured.select("doc_id", "lang", F.when(F.col("extreme") & lacking, False).when(~F.col("extreme") & ~lacking, True).alias("prose")).filter(F.col("prose").isNotNull())
-    pick = F.row_number().over(Window.partitionBy("lang", "prose").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = F.broadcast(seeds.withColumn("k", pick).filter(F.col("k") <= fit_pages).drop("k"))
-    counted = pages.select("doc_id", "text").join(chosen, "doc_id").select("lang", "prose", "text").mapInArrow(_counts(recurring), "lang string, prose boolean, word string, n bigint, pages bigint").groupBy("lang", "prose", "word").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
+    seeds = seeds.distinct()
+    counted = pages.select("doc_id", "text").join(seeds, "doc_id").select("lang", "prose", "text").mapInArrow(_counts(recurring), "lang string, prose boolean, word string, n bigint, pages bigint").groupBy("lang", "prose", "word").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
+    counted = stage(counted, "counted")
     per = Window.partitionBy("lang", "prose")
     rated = counted.withColumn("all", F.sum("n").over(per)).withColumn("most", F.max("pages").over(per))
     one = rated.filter("prose").filter(F.col("pages") >= F.greatest(F.lit(3), F.col("most") * 0.01)).select("lang", "word", F.col("n").alias("a"), F.col("all").alias("a_all"))
@@ -287,7 +287,7 @@ def _divergences(recurring: list[str], prose: frozenset[str], usual: dict[str, f
     return run
 
 
-def divergences(pages: DataFrame, part: float = 0.45, fit_pages: int = 2000) -> DataFrame:
+def divergences(pages: DataFrame, part: float = 0.45) -> DataFrame:
     """doc_id, n (words of the page's own text), divergence of every page: the share of its words outside prose.
 
     Null and empty texts have no words and divergence 0; rows repeated under one doc_id each give a row; texts of any length are read
@@ -298,7 +298,7 @@ def divergences(pages: DataFrame, part: float = 0.45, fit_pages: int = 2000) ->
     own = pages.select(F.col("doc_id").cast("bigint"), "lang", "text").filter(F.col("doc_id").isNotNull())
     recurring = recurring_lines(own)
     spectra = stage(own.mapInArrow(_spectra(recurring), SPECTRUM), "spectra")
-    prose, usual = prose_words(own, extremes(spectra), recurring, fit_pages)
+    prose, usual = prose_words(own, extremes(spectra), recurring)
     return own.mapInArrow(_divergences(recurring, prose, usual, part), DIVERGENCE)
 
 
