@@ -73,16 +73,75 @@ def test_a_line_is_left_out_as_a_run_of_whole_entries_only():
 
 def test_prose_words_are_counted_over_all_seed_pages(spark):
     rows = [(i, "the" + " w" * (i % 7 + i // 1000)) for i in range(2500)]
-    measured = spark.createDataFrame([(i, "en", 0.5, False) for i, _ in rows], "doc_id bigint, lang string, share double, extreme boolean")
-    words, usual = spam.prose_words(spark.createDataFrame(rows, "doc_id bigint, text string"), measured, [])
-    assert words == {"the"} and abs(usual["en"] - 2500 / sum(len(t.split()) for _, t in rows)) < 1e-12
+    measured = spark.createDataFrame([(i, "en", True, False, False) for i, _ in rows], "doc_id bigint, lang string, reference boolean, lacking boolean, extreme boolean")
+    words, usual = spam.prose_words(spark.createDataFrame(rows, "doc_id bigint, own string"), measured)
+    assert words == {"en": frozenset(spam.FUNCTION_WORDS["en"].split())} and abs(usual["en"] - 2500 / sum(len(t.split()) for _, t in rows)) < 1e-12
+
+
+def test_words_are_learnt_from_what_lists_lack_on_many_pages(spark):
+    prose_pages = [(i, "the opened river garden market", True) for i in range(200)]
+    lists = [(200 + i, " ".join([("river", "garden", "market")[i % 3]] * 9), False) for i in range(12)]
+    read = spark.createDataFrame([r[:2] for r in prose_pages + lists], "doc_id bigint, own string")
+    measured = spark.createDataFrame([(k, "en", good, not good, not good) for k, _, good in prose_pages + lists], "doc_id bigint, lang string, reference boolean, lacking boolean, extreme boolean")
+    words, _ = spam.prose_words(read, measured)
+    assert "opened" in words["en"] and not words["en"] & {"river", "garden", "market"}
+    assert "opened" not in spam.prose_words(read, measured.filter("doc_id < 205"))[0]["en"]
+
+
+SAID = {
+    "en": "The {0} of the {1} was carried by a {2} and it is in the {1}.",
+    "es": "El {0} de la {1} era para un {2}, pero no es de los {1} que se ven en la {0}.",
+    "de": "Der {0} und die {1} sind nicht auf dem {2}, weil es im {0} ist.",
+    "fr": "Le {0} et la {1} ne sont pas dans un {2} qui est sur le {0}.",
+}
+
+
+def tag_list(rng, n, between):
+    code = lambda: f"{rng.choice(['No', 'Art', 'REF', 'SKU'])}{rng.choice('#:- ')}{rng.randrange(10**5)}"
+    return between.join(f"{rng.choice(NOUNS).capitalize()} {rng.choice(NOUNS)} {rng.choice(['M', 'XL', 'S-33'])} {code()}" for _ in range(n))
+
+
+def test_product_codes_are_no_words_of_spanish(spark):
+    rng = random.Random(11)
+    rows = []
+    for g, form in SAID.items():
+        for i in range(120):
+            rows.append((len(rows), rng.choice([g, None]), " ".join(form.format(*rng.sample(NOUNS, 3)) for _ in range(rng.randrange(4, 30)))))
+    first = len(rows)
+    for i in range(80):
+        rows.append((len(rows), rng.choice(["en", "de", "es", "fr", None, "xx"]), tag_list(rng, rng.randrange(12, 60), rng.choice([" · ", "\n", ". ", ", "]))))
+    df = spark.createDataFrame([(*r, 0, 0.0) for r in rows], DDL)
+    found = {r["doc_id"] for r in spam.find_spam(df).collect()}
+    assert len([k for k in found if k >= first]) >= 76 and not [k for k in found if k < first]
+
+
+def test_slope_and_residual_flag_as_well_as_divergence(spark):
+    rng = random.Random(3)
+    rows = [(i, "en", prose(rng, rng.randrange(3, 30))) for i in range(300)] + [(300, "en", stuffed(rng, 40)), (301, "en", "\n".join(["It is the river of a market in the garden."] * 60))]
+    j = {r["doc_id"]: r for r in spam.judge(spark.createDataFrame([(*r, 0, 0.0) for r in rows], DDL)).collect()}
+    assert j[300]["flagged"] and j[300]["divergence_z"] > 3 and j[300]["outside"] > 0.9
+    # repeated sentences have an extreme curve, and are sentences all the same
+    assert j[301]["extreme"] and abs(j[301]["residual_z"]) + abs(j[301]["slope_z"]) > 3 and j[301]["outside"] < 0.5
+    assert sum(r["flagged"] for k, r in j.items() if k < 300) < 60
+
+
+def test_prose_in_two_languages_and_in_an_unknown_one(spark):
+    rng = random.Random(4)
+    rows = [(i, "en", prose(rng, rng.randrange(3, 30))) for i in range(200)]
+    rows += [(200 + i, "de", " ".join(SAID["de"].format(*rng.sample(NOUNS, 3)) for _ in range(rng.randrange(4, 30)))) for i in range(200)]
+    both = (400, "de", " ".join(SAID["de"].format(*rng.sample(NOUNS, 3)) for _ in range(10)) + "\n" + prose(rng, 10))
+    said = [f"{a} seisis vanal {b} juures ning vaatas kaua aega {c} poole" for a, b, c in (rng.sample(NOUNS, 3) for _ in range(12))]
+    other = (401, "et", ". ".join(said) + ".")
+    df = spark.createDataFrame([(*r, 0, 0.0) for r in [*rows, both, other]], DDL)
+    j = {r["doc_id"]: r for r in spam.judge(df).collect()}
+    assert j[400]["outside"] == 0 and j[401]["outside"] > 0.5 and (not j[401]["flagged"] or j[401]["extreme"])
 
 
 def test_curves_are_least_squares(spark):
     counts = Counter("a a a a b b c c d e f".split())
     n = sum(counts.values())
     spectrum = sorted(Counter(counts.values()).items(), reverse=True)
-    df = spark.createDataFrame([(1, "en", 0.1, n, [f for f, _ in spectrum], [m for _, m in spectrum])], spam.SPECTRUM)
+    df = spark.createDataFrame([(1, "en", 0.1, n, [f for f, _ in spectrum], [m for _, m in spectrum])], "doc_id bigint, lang string, share double, n int, freq array<int>, words array<int>")
     rank, points = 0, []
     for f, m in spectrum:
         rank += m
@@ -98,8 +157,14 @@ def test_text_read_in_a_wrong_encoding_is_put_right():
     right = "Говорят, что дом и сад в городе. Если лес рядом, то мост на реке."
     reader = spam.Reader([])
     for wrong, true in (("latin-1", "cp1251"), ("latin-1", "utf-8"), ("latin-1", "koi8-r"), ("cp1251", "utf-8")):
-        language, share, lines = reader.page(right.encode(true).decode(wrong, "replace"))
-        assert language == "ru" and share > 0.1 and "говорят" in lines[0][1]
+        page = reader.page(right.encode(true).decode(wrong, "replace"))
+        assert page.languages == ["ru"] and page.share > 0.1 and "говорят" in page.lines[0][1]
+    page = reader.page("Le café et la forêt sont à côté de la bibliothèque. Le théâtre gêne la fête.".encode().decode("cp1251"))
+    assert page.languages[0] == "fr" and "forêt" in page.counts
+
+
+def test_lost_characters_do_not_break_words():
+    assert spam.Reader([]).page("La for\ufffd\ufffdt et le th\ufffd\ufffd\ufffd\ufffdtre sont dans la ville.").n == 9
 
 
 def test_empty(spark):
