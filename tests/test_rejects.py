@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from weft.operators import rejects
 
 P = "initial_snapshot/dynamic/Person/part-0.csv"
@@ -47,3 +49,60 @@ def test_edges_of_input(spark):
     posts = rejects.parse_snapshot(spark.createDataFrame([("a/b/Post/x", 1, "5|1600000000000|hi|3", 0, 0)], DDL))
     row = rejects.vertices(posts).first()
     assert row["labels"] == ["Post", "Message"] and row["props"] == {"content": "hi", "personId": "3", "creationDate": "1600000000000"}
+
+
+def by_hand(line, names):
+    """The reason of a line, field by field and character by character."""
+    fields, i = [], 0
+    while True:
+        if line[i : i + 1] == '"':
+            i += 1
+            value = ""
+            while True:
+                if i >= len(line):
+                    return "quoting"
+                if line[i] == '"' and line[i + 1 : i + 2] == '"':
+                    value, i = value + '"', i + 2
+                elif line[i] == '"':
+                    i += 1
+                    break
+                else:
+                    value, i = value + line[i], i + 1
+            if i < len(line) and line[i] != "|":
+                return "quoting"
+        else:
+            j = line.find("|", i)
+            j = len(line) if j < 0 else j
+            value, i = line[i:j], j
+            if '"' in value:
+                return "quoting"
+        fields.append(value)
+        if i >= len(line):
+            break
+        i += 1
+    if len(fields) != len(names):
+        return "columns"
+    vid, date = fields[names.index("id")], fields[names.index("creationDate")]
+    good = vid.isascii() and vid.isdigit() and int(vid) <= rejects.MAX_ID and date.isascii() and date.isdigit() and rejects.MIN_DATE <= int(date) < rejects.END_DATE
+    return None if good else "value"
+
+
+def test_order_and_batches_do_not_matter():
+    rng = random.Random(6)
+    pieces = ['"', '""', "|", "a", "|", '"A"', "7", "|1600000000000|", "|", '""""']
+    lines = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 12))) for _ in range(4000)]
+    lines += [f'{i}|1600000000000|{rng.choice(["A", chr(34) * 2, chr(34) + "A" + chr(34)])}|L' for i in range(3000)] + [f'{i}|1600000000000|"A|L' for i in range(60)]
+    names = rejects.ENTITY_COLUMNS["Person"]
+    for size in (7, 700, len(lines)):
+        rng.shuffle(lines)
+        batches = [pa.RecordBatch.from_pydict({"file_name": [P] * len(part), "line_no": list(range(k, k + len(part))), "line": part}) for k in range(0, len(lines), size) if (part := lines[k : k + size])]
+        got = {}
+        for out in rejects.parse_batches(iter(batches)):
+            for k, reason in zip(out.column("line_no").to_pylist(), out.column("reason").to_pylist(), strict=True):
+                assert k not in got
+                got[k] = reason
+        assert got == {k: by_hand(s, names) for k, s in enumerate(lines) if s.strip()}
+
+
+def test_an_open_quote_at_the_head_condemns_itself_only(spark):
+    assert judged(spark, ['1|1600000000000|"A|L', "2|1600000000000|B|L"])[0] == {1: "quoting", 2: None}

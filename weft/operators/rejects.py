@@ -99,18 +99,23 @@ class LineReader:
         return good, bad, begun
 
     def read(self, lines: list[str], names: tuple[str, ...]) -> tuple[list[tuple], dict[int, tuple[str, str]]]:
-        """Accepted rows (ordinal as text first) and {ordinal: (reason, message)} of the others."""
+        """Accepted rows (ordinal as text first) and {ordinal: (reason, message)} of the others.
+
+        Lines without a quote cannot swallow others and are read at once. Of the others those with an even number of quotes come before those with an odd
+        one, which always break the layout, so that few lines are swallowed and fed again.
+        """
         good: list[tuple] = []
         bad: dict[int, tuple[str, str]] = {}
-        at = np.arange(len(lines))
-        while len(at):
-            rows, errors, begun = self._scan(lines, at, names)
-            good += rows
-            bad |= errors
-            if not begun:  # nothing recognised: leave no line behind
-                bad |= {int(k): ("quoting", "unreadable") for k in at}
-                break
-            at = at[~np.isin(at, np.fromiter(begun, dtype=np.int64))]
+        quotes = np.array([s.count('"') for s in lines], dtype=np.int64)
+        for at in (np.flatnonzero(quotes == 0), np.flatnonzero((quotes > 0) & (quotes % 2 == 0)), np.flatnonzero(quotes % 2 == 1)):
+            while len(at):
+                rows, errors, begun = self._scan(lines, at, names)
+                good += rows
+                bad |= errors
+                if not begun:  # the first line opened a field that no line after it closes, and only that line is to blame
+                    begun = {int(at[0])}
+                    bad[int(at[0])] = ("quoting", "a quoted field is not closed")
+                at = at[~np.isin(at, np.fromiter(begun, dtype=np.int64))]
         return good, bad
 
     def lenient(self, lines: list[str]) -> set[int]:

@@ -79,14 +79,14 @@ layout(entity, n, d, header) AS (VALUES {", ".join(f"('{k}', {len(v)}, {v.index(
 lines AS (
   SELECT file_name, line_no, split_part(file_name, '/', 3) AS entity,
     regexp_replace(regexp_replace(line, '^\\x{{FEFF}}', ''), '\\r$', '') AS s FROM raw_records),
-fields AS (
-  SELECT l.*, layout.n, layout.d,
-    regexp_full_match(s, '([^"|]*|"([^"]|"")*")(\\|([^"|]*|"([^"]|"")*"))*') AS quoted_well,
-    regexp_extract_all('|' || s, '\\|("([^"]|"")*"|[^"|]*)', 1) AS f
-  FROM lines l JOIN layout USING (entity) WHERE trim(s) <> '' AND s <> header),
-judged AS (
-  SELECT *, CASE WHEN length(f[1]) > 1 AND f[1][1] = '"' THEN f[1][2:-2] ELSE f[1] END AS id_text,
-    CASE WHEN length(f[d]) > 1 AND f[d][1] = '"' THEN f[d][2:-2] ELSE f[d] END AS date_text FROM fields),
+split AS (SELECT l.*, layout.n, layout.d, string_split(s, chr(34)) AS p FROM lines l JOIN layout USING (entity) WHERE trim(s) <> '' AND s <> header),
+-- parts in odd places stand outside quotes: between two fields they begin and end with the separator, or are empty where a quote is doubled
+quoted AS (
+  SELECT *, len(p) = 1 OR (len(p) % 2 = 1 AND (p[1] = '' OR right(p[1], 1) = '|') AND (p[-1] = '' OR left(p[-1], 1) = '|')
+      AND len(list_filter(p, lambda x, i: i % 2 = 1 AND i > 1 AND i < len(p) AND x <> '' AND NOT (left(x, 1) = '|' AND right(x, 1) = '|'))) = 0) AS quoted_well,
+    string_split(array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 THEN replace(x, '|', chr(1)) WHEN x = '' AND i > 1 AND i < len(p) THEN chr(2) ELSE x END), ''), '|') AS f
+  FROM split),
+judged AS (SELECT *, f[1] AS id_text, f[d] AS date_text FROM quoted),
 typed AS (
   SELECT *, CASE WHEN regexp_full_match(id_text, '0*[0-9]{{1,19}}') THEN TRY_CAST(id_text AS BIGINT) END AS vid,
     CASE WHEN regexp_full_match(date_text, '0*[0-9]{{1,19}}') THEN TRY_CAST(date_text AS BIGINT) END AS created FROM judged),
