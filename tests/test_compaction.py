@@ -51,6 +51,28 @@ def test_sizes_and_swap(spark, tmp_path):
     assert read_consolidated(spark, out).count() == 40 and os.listdir(tmp_path) == ["out"]
 
 
+def test_every_record_is_accounted_for(spark, tmp_path):
+    bodies = [("Post", 1, "x|5|bad id|3\n3|5|too|many|fields\n1|5|é|3\n1|5|é|3"), ("Odd", 1, "1|2\n3|4"), ("Post", 2, "1|5|new|3"), ("Forum", 1, "9|t|5")]
+    counts = consolidate(files(spark, bodies), f"file://{tmp_path}/out")
+    assert counts == {"read": 7, "rejected": 3, "repeats": 2, "records": 2, "parts": 2}
+    read = compaction.read_part_files(files(spark, bodies))
+    assert sorted(r["reason"] for r in read.filter("reason IS NOT NULL").collect()) == ["columns", "entity", "value"]
+    sizes = {r["id"]: r["bytes"] for r in compaction.read_part_files(files(spark, [("Forum", 1, "1|ab|5\n2|éé|5")])).collect()}
+    assert sizes[2] - sizes[1] == 2
+
+
+def test_changed_fields_do_not_pass(spark, tmp_path):
+    good = compaction.read_part_files(files(spark, [("Forum", 1, "1|t|9"), ("Forum", 2, "1|u|9")])).filter("reason IS NULL")
+    for title, fine in (("u", True), ("t", False)):
+        new = f"file://{tmp_path}/{title}"
+        spark.sql(f"SELECT 'Forum' AS entity, 1L AS id, map('creationDate', '9', 'title', '{title}') AS fields").write.partitionBy("entity").parquet(new)
+        if fine:
+            assert compaction._reconcile(spark, good, new) == 1
+        else:
+            with pytest.raises(RuntimeError):
+                compaction._reconcile(spark, good, new)
+
+
 def test_failure_leaves_the_old_folder(spark, tmp_path, monkeypatch):
     out = f"file://{tmp_path}/out"
     consolidate(files(spark, [("Forum", 1, "1|t|9")]), out)

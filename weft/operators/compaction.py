@@ -1,10 +1,10 @@
 """Far too many small files: consolidation into few, sorted, well-sized ones.
 
 The files are parsed on their workers, repeats within a batch removed there, and the records staged in the
-shared folder. Boundaries of the clustering key are sampled from the staged records; their number follows
-from the bytes to hold and the target size. Records are range-partitioned by (entity, id), which also brings all
-copies of a record together, sorted and written to a new folder. Counts are reconciled against the
-staged records before the folder takes the place of the old one.
+shared folder with those that cannot be used and why. Records are range-partitioned by (entity, id) at boundaries sampled from the staged
+records, into as many parts as the bytes of each entity ask for, which also brings all
+copies of a record together, sorted and written to a new folder. The records read, set aside and written and a checksum of their fields
+are reconciled before the folder takes the place of the old one.
 """
 
 from __future__ import annotations
@@ -15,23 +15,23 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.operators.rejects import ENTITY_COLUMNS
 from weft.session import hadoop_fs, scratch_path, stage
 
-RECORDS_DDL = "entity string, id bigint, fields map<string,string>, path string, written_at bigint, bytes bigint"
+RECORDS_DDL = "entity string, id bigint, fields map<string,string>, path string, written_at bigint, bytes bigint, copies bigint, reason string"
 _FIELDS = pa.map_(pa.string(), pa.string())
 #: Bytes of record text that a data file shall hold.
 TARGET_BYTES = 128 << 20
 
 
-def records_of(body: str, names: tuple[str, ...]) -> Iterator[dict[str, str]]:
-    """The records of a file's body, by column name.
+def records_of(body: str, names: tuple[str, ...]) -> Iterator[dict[str, str] | None]:
+    """The records of a file's body, by column name; None for one with another number of fields.
 
     A first line made of the entity's column names, in any order and case, gives the columns' order; otherwise it is that of
-    ``names``. A byte order mark, blank lines and records with another number of fields are passed over.
+    ``names``. A byte order mark and blank lines are passed over.
     """
     rows = csv.reader(io.StringIO(body.removeprefix("\ufeff"), newline=""), delimiter="|", quotechar='"', doublequote=True)
     known = {n.lower(): n for n in names}
@@ -42,85 +42,117 @@ def records_of(body: str, names: tuple[str, ...]) -> Iterator[dict[str, str]]:
             continue
         if first and sorted(f.strip().lower() for f in row) == sorted(known):
             columns = [known[f.strip().lower()] for f in row]
-        elif len(row) == len(names):
-            yield dict(zip(columns, row, strict=True))
+        else:
+            yield dict(zip(columns, row, strict=True)) if len(row) == len(names) else None
         first = False
 
 
+def _bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def _parse(path: str | None, body: str | None) -> Iterator[tuple[str | None, int | None, dict[str, str], str | None]]:
+    """Entity, id, other fields and the reason it is set aside, of each record."""
+    parts = (path or "").split("/")
+    entity = parts[2] if len(parts) > 2 else None
+    names = ENTITY_COLUMNS.get(entity or "")
+    if not body:
+        return
+    if names is None:
+        yield entity, None, {}, "entity"
+        return
+    for record in records_of(body, names):
+        if record is None:
+            yield entity, None, {}, "columns"
+            continue
+        vid = record.pop("id")
+        if vid.isascii() and vid.isdigit() and int(vid) < 1 << 63:
+            yield entity, int(vid), record, None
+        else:
+            yield entity, None, {"id": vid} | record, "value"
+
+
 def parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     csv.field_size_limit(2**62)
     for batch in batches:
-        best: dict[tuple[str, int], tuple] = {}
+        best: dict[tuple, list] = {}
+        aside: list[tuple] = []
         for path, written, body in zip(*(batch.column(c).to_pylist() for c in ("path", "written_us", "body")), strict=True):
-            parts = (path or "").split("/")
-            entity = parts[2] if len(parts) > 2 else None
-            names = ENTITY_COLUMNS.get(entity or "")
-            if names is None or not body:
-                continue
-            for record in records_of(body, names):
-                size = sum(map(len, record.values())) + len(record)
-                vid = record.pop("id")
-                if not (vid.isascii() and vid.isdigit() and int(vid) < 1 << 63):
+            at = written if written is not None else -1
+            for entity, vid, record, reason in _parse(path, body):
+                if reason:
+                    aside.append((entity, None, record, path, at, 0, 1, reason))
                     continue
-                key, version = (entity, int(vid)), (written if written is not None else -1, path)
-                if key not in best or best[key][:2] < version:
-                    best[key] = (*version, record, size)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in best], pa.string()),
-                pa.array([k[1] for k in best], pa.int64()),
-                pa.array([list(v[2].items()) for v in best.values()], _FIELDS),
-                pa.array([v[1] for v in best.values()], pa.string()),
-                pa.array([v[0] for v in best.values()], pa.int64()),
-                pa.array([v[3] for v in best.values()], pa.int64()),
-            ],
-            names=["entity", "id", "fields", "path", "written_at", "bytes"],
-        )
+                version = (at, path, tuple(record.items()))
+                old = best.get((entity, vid))
+                if old is None:
+                    best[entity, vid] = [version, 1]
+                else:
+                    old[0], old[1] = max(old[0], version), old[1] + 1
+        rows = [(e, k, dict(v[2]), v[1], v[0], sum(_bytes(x) + 1 for _, x in v[2]) + 20, n, None) for (e, k), (v, n) in best.items()] + aside
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+        types = (pa.string(), pa.int64(), _FIELDS, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        names = ["entity", "id", "fields", "path", "written_at", "bytes", "copies", "reason"]
+        yield pa.RecordBatch.from_arrays([pa.array([list(x.items()) for x in c] if n == "fields" else c, t) for n, c, t in zip(names, columns, types, strict=True)], names=names)
 
 
 def read_part_files(files: DataFrame) -> DataFrame:
-    """entity, id, fields, path, written_at (epoch microseconds), bytes of the records of ``files`` (path, written_at, body).
+    """entity, id, fields, path, written_at (epoch microseconds), bytes, copies, reason of the records of ``files`` (path, written_at, body).
 
-    The entity is the third part of path. Within a batch of files the last written copy of a record is kept. Empty or null
-    bodies, files of no known entity, and records with another number of fields or no usable id give no row.
+    The entity is the third part of path. Within a batch of files the last written copy of a record is kept and ``copies`` tells how many there were;
+    ``bytes`` are those of its text in UTF-8. A record that cannot be used has no id and its reason: ``columns`` (another number of fields), ``value`` (no
+    usable id), ``entity`` (a file of no known entity, as one record). Empty or null bodies give no row.
     """
     epoch = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(written_at as timestamp_ntz))")
     return files.select("path", epoch.alias("written_us"), "body").mapInArrow(parse_files, RECORDS_DDL)
 
 
+def _mark() -> Column:
+    """A checksum of a record's fields, whatever their order."""
+    return F.xxhash64(F.array_sort(F.map_entries("fields")))
+
+
 def consolidate(files: DataFrame, out: str, target_bytes: int = TARGET_BYTES) -> dict[str, int]:
     """Write the records of ``files``, each once, below ``out`` in a folder per entity; returns the reconciled counts.
 
-    Of several copies of a record the last written is kept, of those the greatest path. A run that fails leaves
-    ``out`` as it was; an existing ``out`` is replaced only after the new folder's counts agree with the records read.
+    ``read`` records are ``repeats`` of others, ``rejected`` or ``records`` written. Of several copies of a record the last written is kept, of those the
+    greatest path, of those the greatest fields. An entity gets a part for each ``target_bytes`` begun. A run that fails leaves
+    ``out`` as it was; an existing ``out`` is replaced only after the new folder agrees with the records read, fields included.
     No record at all writes an empty data set.
     """
     spark = files.sparkSession
     staged = stage(read_part_files(files), "records")
-    total = staged.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
-    parts = max(1, -(-int(total["bytes"]) // target_bytes))
-    ranged = staged.repartitionByRange(parts, "entity", "id") if parts > 1 else staged.coalesce(1)
-    last = Window.partitionBy("entity", "id").orderBy(F.col("written_at").desc(), F.col("path").desc())
+    good = staged.filter(F.col("reason").isNull())
+    # a row for each known entity
+    sizes = staged.groupBy("entity").agg(F.sum("copies").alias("n"), F.sum(F.when(F.col("reason").isNotNull(), F.col("copies")).otherwise(0)).alias("rejected"), F.sum("bytes").alias("bytes"))
+    sizes = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("rejected"), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("bytes") / target_bytes)), F.lit(0))).first()
+    read, rejected, parts = int(sizes[0]), int(sizes[1]), max(1, int(sizes[2]))
+    last = Window.partitionBy("entity", "id").orderBy(F.col("written_at").desc(), F.col("path").desc(), F.array_sort(F.map_entries("fields")).desc())
+    ranged = good.select("entity", "id", "fields", "written_at", "path").repartitionByRange(parts, "entity", "id")
     once = ranged.withColumn("__rank", F.row_number().over(last)).filter(F.col("__rank") == 1).select("entity", "id", "fields")
     new = f"{out}.new-{uuid.uuid4().hex[:8]}"
     once.sortWithinPartitions("entity", "id").write.partitionBy("entity").parquet(new)
-    counts = _reconcile(spark, staged, new)
+    records = _reconcile(spark, good, new)
     _swap(spark, new, out)
-    return counts | {"read": int(total["n"]), "parts": parts}
+    return {"read": read, "rejected": rejected, "repeats": read - rejected - records, "records": records, "parts": parts}
 
 
 def read_consolidated(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema("id bigint, fields map<string,string>, entity string").parquet(out)
 
 
-def _reconcile(spark: SparkSession, staged: DataFrame, new: str) -> dict[str, int]:
-    """Compare records and their checksum of what was read with what was written; raises if they differ."""
-    mark = F.sum(F.xxhash64("entity", "id").cast("decimal(38,0)"))
-    want = staged.groupBy("entity", "id").agg(F.lit(1)).agg(F.count(F.lit(1)).alias("n"), mark.alias("mark")).first()
-    got = read_consolidated(spark, new).agg(F.count(F.lit(1)).alias("n"), mark.alias("mark")).first()
+def _reconcile(spark: SparkSession, good: DataFrame, new: str) -> int:
+    """Compare the records to be kept and the checksum of their fields with what was written; raises if they differ.
+
+    What is to be kept is found by aggregation, apart from the ranking that wrote it.
+    """
+    marked = good.select("entity", "id", F.struct("written_at", "path", F.array_sort(F.map_entries("fields")).alias("f"), _mark().alias("mark")).alias("v"))
+    total = F.sum(F.xxhash64("entity", "id", "mark").cast("decimal(38,0)"))
+    want = marked.groupBy("entity", "id").agg(F.max("v").alias("v")).select("entity", "id", "v.mark").agg(F.count(F.lit(1)).alias("n"), total.alias("mark")).first()
+    got = read_consolidated(spark, new).select("entity", "id", _mark().alias("mark")).agg(F.count(F.lit(1)).alias("n"), total.alias("mark")).first()
     if (want["n"], want["mark"]) != (got["n"], got["mark"]):
-        raise RuntimeError(f"consolidation lost or doubled records: {want['n']} read, {got['n']} written")
-    return {"records": int(got["n"])}
+        raise RuntimeError(f"consolidation lost, doubled or changed records: {want['n']} to be kept, {got['n']} written")
+    return int(got["n"])
 
 
 def _swap(spark: SparkSession, new: str, out: str) -> None:
