@@ -43,8 +43,10 @@ for _g, _f in _FUNCTION.items():
         _LANGUAGES_OF.setdefault(_w, []).append(_g)
 # single letters are too common in text read in a wrong encoding to tell that it is well read
 _TELLING = frozenset(x for g, f in _FUNCTION.items() for x in f if len(x) > 1 or g == "ja")
+_WORD = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]|[^\W\d_]+")
+_ASCII_WORD = re.compile("[a-z]+")
 # a character lost in decoding was a letter of its word
-_WORD = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]|(?:[^\W\d_]|\ufffd)+")
+_LOST = str.maketrans("\ufffd", "\u0294")
 # what text read in a wrong encoding is full of: signs of the upper half, and Latin letters beside Cyrillic ones
 _MANGLED = re.compile(r"[\u0080-\u00a8\u00aa\u00ac-\u00ba\u00bc-\u00be]|Ã.|[A-Za-z][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z]")
 _UNIT = re.compile(r"[^\w\s'’]+(?:\s|$)|\s[^\w\s'’]+|\n")
@@ -52,6 +54,7 @@ _LINK = re.compile(r"https?://\S+|www\.\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}\b(
 _SENTENCE = re.compile(r"[.!?…]+(?=\s|$)|[。！？]+")
 _BREAK = r"(?<=[.!?…。！？])\s*"
 _CLOSED = re.compile(r"[.!?…。！？][\"'»”)\]]*$")
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: A line of more words than this is judged by its sentences.
 LINE_WORDS = 12
 #: Longest line, in characters, that can be a menu entry or notice.
@@ -69,7 +72,7 @@ def recurring_lines(pages: DataFrame, share: float = 0.001) -> list[str]:
     """
     texts = pages.select("text").filter(F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
     limit = max(2, share * texts.agg(F.count_distinct("h").alias("n")).first()["n"])
-    lines = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))
+    lines = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANKS))))
     unit = lambda x, notice: F.struct(F.xxhash64(x, F.lit(notice)).alias("k"), F.length(x).alias("n"), F.lit(notice).alias("notice"))
     each = F.transform(lines, lambda x: F.when(F.length(x) <= NOTICE_CHARS, F.array(unit(x, True))).otherwise(F.transform(F.split(x, _BREAK), lambda y: unit(y, False))))
     units = stage(texts.select("h", F.explode(F.flatten(each)).alias("u")).select("h", "u.*").filter(F.col("n") > 0).distinct(), "units")
@@ -84,6 +87,10 @@ def recurring_lines(pages: DataFrame, share: float = 0.001) -> list[str]:
     return [r["line"] for r in found.join(F.broadcast(kept), "k", "left_semi").select("line").distinct().collect()]
 
 
+#: A line in lower case, and its text and words, whole if it is short, else by sentence.
+Line = tuple[str, list[tuple[str, list[str]]]]
+
+
 class Reader:
     """Splits a page into lines and sentences of words, without what is not its own text."""
 
@@ -101,32 +108,36 @@ class Reader:
                 return rest
         return None
 
-    def lines(self, text: str) -> tuple[list[tuple[str, list[str]]], int]:
-        """The page's own lines, in lower case and as words, and the number of words left out."""
+    def lines(self, text: str) -> tuple[list[Line], int]:
+        """The page's own lines and the number of words left out."""
         out, left_out, taken = [], 0, frozenset()
+        find = _ASCII_WORD.findall if text.isascii() else _WORD.findall
         for raw in text.split("\n"):
             line = raw.strip()
             if not line:
                 continue
             low = line.lower()
-            words = _WORD.findall(low)
+            parts = [low] if len(low) < 3 * LINE_WORDS else _SENTENCE.split(low)
+            each = [(s, ws) for s in parts if (ws := find(s))]
+            n = sum(len(ws) for _, ws in each)
             if line in self.recurring or line[0] == "©":
-                left_out += len(words)
-            elif len(line) <= NOTICE_CHARS and (run := self._run(words, taken)) is not None:
+                left_out += n
+                continue
+            if n <= LINE_WORDS and len(each) != 1:
+                each = [(low, [w for _, ws in each for w in ws])]
+            if len(line) <= NOTICE_CHARS and (run := self._run([w for _, ws in each for w in ws], taken)) is not None:
                 # a menu names an entry once, keywords come again
                 taken = run
-                left_out += len(words)
+                left_out += n
             else:
-                out.append((low, words))
-        if len(out) > 1 and len(out[0][1]) <= 20 and not _CLOSED.search(out[0][0]):
+                out.append((low, each))
+        if len(out) > 1 and sum(len(ws) for _, ws in out[0][1]) <= 20 and not _CLOSED.search(out[0][0]):
             del out[0]  # the title
         return out, left_out
 
     def _read(self, text: str) -> Page:
         lines, left_out = self.lines(text)
-        counts: Counter = Counter()
-        for _, words in lines:
-            counts.update(words)
+        counts = Counter(w for _, each in lines for _, words in each for w in words)
         languages, hits = languages_of(counts)
         return Page(lines, counts, counts.total(), languages, hits, left_out)
 
@@ -140,9 +151,10 @@ class Reader:
         if text.isascii():
             return self._read(text)
         text = INVISIBLE.sub("", text)
-        best = self._read(text)
-        foreign = (len(text) - len(text.encode("ascii", "ignore"))) * 10 > len(text) and best.telling() < 0.05
-        if foreign or len(_MANGLED.findall(text)) * 100 > len(text):
+        best = self._read(text.translate(_LOST) if "\ufffd" in text else text)
+        beyond = len(text) - len(text.encode("ascii", "ignore"))
+        foreign = beyond * 10 > len(text) and best.telling() < 0.05
+        if foreign or (beyond * 100 > len(text) and len(_MANGLED.findall(text)) * 100 > len(text)):
             known, letters = best.known() + 0.02, sum(map(str.isalpha, text))
             for wrong, right in MISREAD:
                 fixed = text.encode(wrong, "ignore").decode(right, "ignore")
@@ -159,7 +171,7 @@ class Page:
 
     __slots__ = ("lines", "counts", "n", "languages", "hits", "left_out")
 
-    def __init__(self, lines: list[tuple[str, list[str]]], counts: Counter, n: int, languages: list[str], hits: int, left_out: int) -> None:
+    def __init__(self, lines: list[Line], counts: Counter, n: int, languages: list[str], hits: int, left_out: int) -> None:
         self.lines, self.counts, self.n, self.languages, self.hits, self.left_out = lines, counts, n, languages, hits, left_out
 
     @property
@@ -176,9 +188,8 @@ class Page:
 
     def segments(self) -> Iterator[tuple[bool, list[str]]]:
         """Whether it is a link, and the words, of each short line and of each sentence of the longer ones."""
-        for low, words in self.lines:
-            parts = [(low, words)] if len(words) <= LINE_WORDS else [(s, _WORD.findall(s)) for s in _SENTENCE.split(low)]
-            for s, ws in parts:
+        for _, each in self.lines:
+            for s, ws in each:
                 if ws:
                     yield len(ws) <= LINE_WORDS and "." in s and _LINK.search(s) is not None, ws
 
