@@ -94,3 +94,19 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(part, LOG_DDL).coalesce(2).write.mode("append").parquet(f"file://{tmp_path}/in")
         stream.start(f"file://{tmp_path}/check", 1).awaitTermination()
     assert alive(stream.edges()) == brute(rows)
+
+
+def test_stream_merges_and_removes_what_is_merged(spark, tmp_path):
+    import os
+
+    from weft.streaming.changefeed import LOG_DDL, ChangeStream
+
+    rows = random_log(random.Random(10), 240, 5)
+    stream = ChangeStream(spark, "", f"file://{tmp_path}/state", merge_every=3)
+    batch = lambda i: spark.createDataFrame([(*r[:7], None, None) for r in rows[i::8]], LOG_DDL)
+    for i in range(8):
+        stream._apply(batch(i), i)
+        if i == 4:  # a batch run again
+            stream._apply(batch(i), i)
+    assert alive(stream.edges()) == brute(rows)
+    assert sorted(os.listdir(tmp_path / "state/base")) == ["2", "5"] and sorted(os.listdir(tmp_path / "state/changes")) == ["3", "4", "5", "6", "7"]

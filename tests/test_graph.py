@@ -42,7 +42,7 @@ def test_queries_run_on_the_whole_graph(spark, monkeypatch):
     run = lambda name: P.QUERIES[name](spark, "")
     got = {r["algorithm"]: r["result"] for r in run("algorithm_runner").collect()}
     assert got == {"pagerank": 6, "wcc": 3, "scc": 5, "bfs": 4}
-    assert run("pagerank_residual").first()[0] == 6 and run("whole_wcc_labels").count() == 7
+    assert run("pagerank_residual").first()[0] == 6 and run("wcc_labels").count() == 7
 
 
 def test_empty_graph(spark):

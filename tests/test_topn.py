@@ -35,3 +35,10 @@ def test_against_brute_force(spark):
 @given(st.lists(st.tuples(st.integers(0, 3) | st.none(), st.integers(0, 4) | st.none(), st.integers(0, 9)), max_size=40))
 def test_small_inputs(spark, rows):
     assert run(spark, rows, 3, 0.3) == brute(rows, 3)
+
+
+def test_a_budget_makes_groups_heavy_whatever_their_share():
+    from weft.operators.heavy import MAX_HEAVY, heavy_limit
+
+    assert heavy_limit(100, 0.02) == 2 and heavy_limit(10**6, 0.002) == 2000 and heavy_limit(10**10, 0.002) == 5_000_000
+    assert 10**15 / heavy_limit(10**15, 0.002) <= MAX_HEAVY

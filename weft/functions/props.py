@@ -24,8 +24,3 @@ def props_of(**columns: Column) -> Column:
 def key_values(df: DataFrame, *keep: str) -> DataFrame:
     """One row for each property."""
     return df.select(*keep, F.explode("props").alias("key", "value"))
-
-
-def truncated(value: Column, characters: int) -> Column:
-    """``value`` cut to the length a fixed-width store holds."""
-    return F.substring(value, 1, characters)

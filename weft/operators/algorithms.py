@@ -6,13 +6,17 @@ not grow and the loss of an executor costs one round's tasks.
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weft.operators.graph import PropertyGraph
-from weft.session import remove, scratch_path
+from weft.session import Bucketed, remove, scratch_path
+
+log = logging.getLogger(__name__)
 
 _registry: dict[str, Callable[..., DataFrame]] = {}
 
@@ -34,7 +38,34 @@ def algorithm_table() -> dict[str, Callable[..., DataFrame]]:
 def run_algorithm(graph: PropertyGraph, name: str, **options) -> DataFrame | None:
     """Run a registered algorithm on a graph or on ``PropertyGraph.from_edges`` of a query's result; None for an unknown name."""
     f = _registry.get(name)
-    return f(graph, **options) if f else None
+    if f is None:
+        log.warning("no algorithm is named %s", name)
+        return None
+    began = time.monotonic()
+    out = f(graph, **options)
+    log.info("%s took %.1f s", name, time.monotonic() - began)
+    return out
+
+
+class ResultTable:
+    """The results of a session: what ran, under which tag, for how long, and its DataFrame."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, str, float, DataFrame]] = []
+
+    def run(self, tag: str, name: str, f: Callable[[], DataFrame]) -> DataFrame:
+        """Keep the result of ``f``, a query or an algorithm, with the seconds its planning and rounds took."""
+        began = time.monotonic()
+        out = f()
+        self.rows.append((tag, name, time.monotonic() - began, out))
+        return out
+
+    def get(self, tag: str) -> DataFrame | None:
+        """The last result of a tag."""
+        return next((df for t, _, _, df in reversed(self.rows) if t == tag), None)
+
+    def table(self, spark) -> DataFrame:
+        return spark.createDataFrame([r[:3] for r in self.rows], "tag string, name string, seconds double")
 
 
 class _State:
@@ -47,12 +78,41 @@ class _State:
     def set(self, df: DataFrame) -> DataFrame:
         path = scratch_path(self.spark, self.name)
         df.write.parquet(path)
-        if self.path:
-            remove(self.spark, self.path)
+        self.drop()
         self.path = path
         self.df = self.spark.read.schema(df.schema).parquet(path)
         return self.df
 
+    def drop(self) -> None:
+        if self.path:
+            remove(self.spark, self.path)
+
+
+class _Growing:
+    """Rows added round by round, each round a folder of its own, so that none is written twice."""
+
+    def __init__(self, first: DataFrame, name: str) -> None:
+        self.spark, self.schema, self.path, self.rounds = first.sparkSession, first.schema, scratch_path(first.sparkSession, name), 0
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> int:
+        """Write the rows of a round; their number."""
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/round={self.rounds}")
+        self.rounds += 1
+        return seen.get["n"]
+
+    @property
+    def last(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/round={self.rounds - 1}")
+
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/round={i}" for i in range(self.rounds)))
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
 
 def aggregate_messages(edges: DataFrame, state: DataFrame, message: Column, combine: Callable[[Column], Column]) -> DataFrame:
     """Send ``message`` (over the columns of ``state``, keyed by vid) along every edge and combine it at the target: vid, msg."""
@@ -71,7 +131,9 @@ def pagerank(graph: PropertyGraph, iterations: int = 100, tolerance: float | Non
     if n == 0:
         return v.withColumn("rank", F.lit(0.0)), 0.0, 0
     out = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    e = _State(graph.edges.select("src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(out, "src").select("src", "dst", (F.lit(damping) * F.col("k") / F.col("d")).alias("w")), "pr-edges").df
+    # in buckets of src once, so a round shuffles ranks and their sums, never edges
+    edges = Bucketed(graph.edges.select("src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(out, "src").select("src", "dst", (F.lit(damping) * F.col("k") / F.col("d")).alias("w")), "src", "pr-edges")
+    e = edges.df
     # a round's state is (vid, old, y) with the new rank y + spare; spare comes with the job that writes y
     y = _State(v.select("vid", F.lit(0.0).alias("old"), F.lit(1.0 / n).alias("y")), "pr")
     spare, delta, done = 0.0, 2.0, 0
@@ -84,6 +146,7 @@ def pagerank(graph: PropertyGraph, iterations: int = 100, tolerance: float | Non
         if tolerance is not None:
             delta = y.df.agg(F.sum(F.abs(F.col("old") - F.col("y") - F.lit(spare)))).first()[0]
         done += 1
+    edges.drop()
     new = F.col("y") + F.lit(spare)
     whole, delta = y.df.agg(F.sum(new), F.sum(F.abs(F.col("old") - new))).first()
     return y.df.select("vid", (new / F.lit(whole)).alias("rank")), float(delta), done
@@ -105,37 +168,41 @@ def wcc(graph: PropertyGraph) -> DataFrame:
         large = _State(large, "wcc-large")
         low = large.df.groupBy("u").agg(F.min("v").alias("m"))
         small = large.df.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.u", "p.v")
-        links.set(small.filter(F.col("u") != F.col("v")).distinct())
-        remove(large.spark, large.path)
-        now = tuple(links.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        # their number and checksum come with the job that writes them
+        seen = Observation()
+        links.set(small.filter(F.col("u") != F.col("v")).distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")))
+        large.drop()
+        now = (seen.get["n"], seen.get["mark"])
         if now == mark:
             break
         mark = now
     return v.join(links.df.select(F.col("u").alias("vid"), F.col("v").alias("component")), "vid", "left").select("vid", F.coalesce("component", "vid").alias("component"))
 
 
-def directed_min_label(graph: PropertyGraph, rounds: int = 100) -> DataFrame:
+def directed_min_label(graph: PropertyGraph, rounds: int | None = None) -> DataFrame:
     """vid, label after labels, starting as dense ranks, have gone along edges from src to dst only, the least winning.
 
-    The vertex of greatest out-degree (first on a tie) swaps its first label with rank 0 and back at the end.
+    The vertex of greatest out-degree (first on a tie) swaps its first label with rank 0 and back at the end. Runs until no label changes;
+    with ``rounds`` no longer than that, and warns if labels still changed.
     """
     ids = graph.dense_ids()
     hub = graph.degrees("src").join(ids, "vid").orderBy(F.col("degree").desc(), "idx").select("idx").first()
     if hub is None:
-        return ids.select("vid", F.col("idx").alias("label"))
+        return ids.select("vid", F.col("idx").alias("label"), "idx")
     hub = hub["idx"]
     swap = lambda c: F.when(c == 0, F.lit(hub)).when(c == hub, F.lit(0)).otherwise(c).cast("bigint")
     x = _State(ids.select("vid", "idx", swap(F.col("idx")).alias("label")), "labels")
-    e = _State(graph.edges.select("src", "dst").distinct(), "label-edges").df
-    for _ in range(rounds):
-        low = aggregate_messages(e, x.df.select("vid", "label"), F.col("label"), F.min)
+    edges = Bucketed(graph.edges.select("src", "dst").distinct(), "src", "label-edges")
+    done, moved = 0, 1
+    while moved and (rounds is None or done < rounds):
+        low = aggregate_messages(edges.df, x.df.select("vid", "label"), F.col("label"), F.min)
+        seen = Observation()
         new = x.df.join(low, "vid", "left").select("vid", "idx", F.least("label", F.coalesce("msg", "label")).alias("label"), (F.col("msg") < F.col("label")).alias("moved"))
-        y = _State(new, "labels-new")
-        moved = y.df.filter("moved").limit(1).count()
-        x.set(y.df.drop("moved"))
-        remove(y.spark, y.path)
-        if not moved:
-            break
+        x.set(new.observe(seen, F.count_if("moved").alias("moved")).drop("moved"))
+        moved, done = seen.get["moved"], done + 1
+    edges.drop()
+    if moved:
+        log.warning("directed_min_label stopped after %d rounds with %d labels changed in the last", done, moved)
     return x.df.select("vid", swap(F.col("label")).alias("label"), "idx")
 
 
@@ -145,16 +212,12 @@ def bfs(graph: PropertyGraph, source: int | None = None) -> DataFrame:
     if source is None:
         source = v.agg(F.min("vid")).first()[0]
     e = graph.edges.select("src", "dst")
-    seen = _State(v.filter(F.col("vid") == (source if source is not None else -1)).withColumn("level", F.lit(0)), "bfs")
-    level = 0
-    while True:
-        frontier = seen.df.filter(F.col("level") == level).select(F.col("vid").alias("src"))
-        new = e.join(frontier, "src", "left_semi").select(F.col("dst").alias("vid")).distinct().join(seen.df.select("vid"), "vid", "left_anti").join(v, "vid", "left_semi")
-        step = _State(new.withColumn("level", F.lit(level + 1)), "bfs-step")
-        if not step.df.limit(1).count():
-            return seen.df
-        seen.set(seen.df.unionByName(step.df))
-        level += 1
+    seen = _Growing(v.filter(F.col("vid") == (source if source is not None else -1)).withColumn("level", F.lit(0)), "bfs")
+    found = 1
+    while found:
+        new = e.join(seen.last.select(F.col("vid").alias("src")), "src", "left_semi").select(F.col("dst").alias("vid")).distinct().join(seen.df.select("vid"), "vid", "left_anti").join(v, "vid", "left_semi")
+        found = seen.add(new.withColumn("level", F.lit(seen.rounds)))
+    return seen.df
 
 
 def scc(graph: PropertyGraph) -> DataFrame:
@@ -162,44 +225,50 @@ def scc(graph: PropertyGraph) -> DataFrame:
     v = graph.vertices.select("vid")
     e = _State(graph.edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "scc-edges")
     left = _State(v, "scc-left")
-    found = _State(v.limit(0).withColumn("component", F.col("vid")), "scc")
+    found = _Growing(v.limit(0).withColumn("component", F.col("vid")), "scc")
     size = left.df.count()
+
+    def within() -> DataFrame:
+        return e.df.join(left.df.withColumnRenamed("vid", "src"), "src", "left_semi").join(left.df.withColumnRenamed("vid", "dst"), "dst", "left_semi").select("src", "dst")
+
     while size:
         # a vertex without edges in or out of what is left is alone
         while True:
             keep = _State(left.df.join(e.df.select(F.col("src").alias("vid")), "vid", "left_semi").join(e.df.select(F.col("dst").alias("vid")), "vid", "left_semi"), "scc-keep")
             now = keep.df.count()
+            if now < size:
+                found.add(left.df.join(keep.df, "vid", "left_anti").withColumn("component", F.col("vid")))
+                left.set(keep.df)
+                e.set(within())
+            keep.drop()
             if now == size:
                 break
-            found.set(found.df.unionByName(left.df.join(keep.df, "vid", "left_anti").withColumn("component", F.col("vid"))))
-            left.set(keep.df)
-            e.set(e.df.join(left.df.withColumnRenamed("vid", "src"), "src", "left_semi").join(left.df.withColumnRenamed("vid", "dst"), "dst", "left_semi").select("src", "dst"))
             size = now
         if not size:
             break
         colour = _State(left.df.withColumn("c", F.col("vid")), "scc-colour")
-        while True:
+        moved = 1
+        while moved:
             high = aggregate_messages(e.df, colour.df, F.col("c"), F.max)
-            y = _State(colour.df.join(high, "vid", "left").select("vid", F.greatest("c", F.coalesce("msg", "c")).alias("c"), (F.col("msg") > F.col("c")).alias("moved")), "scc-new")
-            moved = y.df.filter("moved").limit(1).count()
-            colour.set(y.df.select("vid", "c"))
-            if not moved:
-                break
+            seen = Observation()
+            new = colour.df.join(high, "vid", "left").select("vid", F.greatest("c", F.coalesce("msg", "c")).alias("c"), (F.col("msg") > F.col("c")).alias("moved"))
+            colour.set(new.observe(seen, F.count_if("moved").alias("moved")).select("vid", "c"))
+            moved = seen.get["moved"]
         # backward from each root, within its colour
-        inside = _State(e.df.join(colour.df.select(F.col("vid").alias("src"), F.col("c").alias("a")), "src").join(colour.df.select(F.col("vid").alias("dst"), F.col("c").alias("b")), "dst").filter("a = b").select("src", "dst"), "scc-inside").df
-        reach = _State(colour.df.filter("vid = c").select("vid", F.col("c").alias("component"), F.lit(0).alias("step")), "scc-reach")
-        step = 0
-        while True:
-            front = reach.df.filter(F.col("step") == step).select(F.col("vid").alias("dst"), "component")
-            new = _State(inside.join(front, "dst").select(F.col("src").alias("vid"), "component").distinct().join(reach.df, "vid", "left_anti").withColumn("step", F.lit(step + 1)), "scc-step")
-            if not new.df.limit(1).count():
-                break
-            reach.set(reach.df.unionByName(new.df))
-            step += 1
-        found.set(found.df.unionByName(reach.df.select("vid", "component")))
+        inside = _State(e.df.join(colour.df.select(F.col("vid").alias("src"), F.col("c").alias("a")), "src").join(colour.df.select(F.col("vid").alias("dst"), F.col("c").alias("b")), "dst").filter("a = b").select("src", "dst"), "scc-inside")
+        reach = _Growing(colour.df.filter("vid = c").select("vid", F.col("c").alias("component")), "scc-reach")
+        more = 1
+        while more:
+            front = reach.last.select(F.col("vid").alias("dst"), "component")
+            more = reach.add(inside.df.join(front, "dst").select(F.col("src").alias("vid"), "component").distinct().join(reach.df.select("vid"), "vid", "left_anti"))
+        found.add(reach.df)
         left.set(left.df.join(reach.df, "vid", "left_anti"))
-        e.set(e.df.join(left.df.withColumnRenamed("vid", "src"), "src", "left_semi").join(left.df.withColumnRenamed("vid", "dst"), "dst", "left_semi").select("src", "dst"))
+        e.set(within())
         size = left.df.count()
+        for state in (colour, inside, reach):
+            state.drop()
+    left.drop()
+    e.drop()
     return found.df
 
 

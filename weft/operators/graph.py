@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.props import has_label, key_values
+from weft.session import stage
 
 VERTEX_DDL = "vid bigint, labels array<string>, props map<string,string>"
 EDGE_DDL = "src bigint, dst bigint, label string, props map<string,string>, undirected boolean, is_reverse boolean"
@@ -158,16 +159,24 @@ class PropertyGraph:
 
 
 def dense_rank(df: DataFrame, by: str, name: str) -> DataFrame:
-    """Ranks from 0 over a unique column without a single-task window: range-partitioned, partition sizes added up."""
+    """Ranks from 0 over a unique column without a single-task window: sorted ranges are written once, their sizes added up.
+
+    A row's place in its range comes with the write, so nothing is compared with range borders and no window is needed.
+    """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    low, high = df.agg(F.min(by), F.max(by)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    cuts = df.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
-    bucket = F.size(F.filter(F.array(*(F.lit(int(c)) for c in sorted(set(cuts)))), lambda c: c < F.col(by)))
-    placed = df.withColumn("__bucket", bucket)
-    sizes = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
+    at = F.monotonically_increasing_id()
+    placed = stage(df.repartitionByRange(parts, by).sortWithinPartitions(by).withColumn("__at", at), "ranks")
+    placed = placed.withColumn("__range", F.shiftright("__at", 33)).withColumn("__local", F.col("__at").bitwiseAND((1 << 33) - 1))
     # one row for each shuffle partition
-    starts = sizes.withColumn("__start", F.coalesce(F.sum("n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    local = F.row_number().over(Window.partitionBy("__bucket").orderBy(by))
-    return placed.withColumn("__local", local).join(F.broadcast(starts), "__bucket").select(*df.columns, (F.col("__start") + F.col("__local") - 1).cast("bigint").alias(name))
+    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), "__range").select(*df.columns, (F.col("__start") + F.col("__local")).cast("bigint").alias(name))
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Write edges in a folder for each label.
+
+    Rebalancing brings a label's rows together and divides them by their measured bytes, so that a small label is one file and a large one as many
+    as it needs, whatever its heaviest vertex. Within a file rows are sorted by src, which row groups can be skipped by.
+    """
+    edges.hint("rebalance", "label").sortWithinPartitions("label", "src").write.partitionBy("label").parquet(path)

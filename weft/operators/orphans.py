@@ -1,8 +1,8 @@
 """References to records that do not exist: orphan edge ends, per edge and per table and period.
 
 References are first counted per key and period (map-side combined), so that a key is checked once however
-often it is named. Keys holding a fixed share of all references, of which there can be no more than
-``1 / share``, are checked against broadcast states; all other keys go through a shuffle join. Only the
+often it is named. Keys holding a fixed share of all references, or more of them than a task's budget, whose number
+is bounded, are checked against broadcast states; all other keys go through a shuffle join. Only the
 edges that name an orphan key are then looked up again, the same split applied.
 """
 
@@ -25,7 +25,7 @@ ENDS = {
     "hasMember": ("forum", "person"),
     "containerOf": ("forum", "message"),
 }
-#: A key with at least this share of all references is heavy; so there are at most 500 heavy keys.
+#: A key with at least this share of all references is heavy, or one beyond the row budget of ``heavy_keys``.
 HEAVY_SHARE = 0.002
 
 

@@ -5,7 +5,7 @@ Reads filter, then sort by a total order, then limit. Properties are joined on a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weft.functions.props import prop
@@ -13,6 +13,9 @@ from weft.operators import dml
 from weft.operators.graph import PropertyGraph
 from weft.session import stage
 
+#: Replies followed in one job.
+HOPS_AT_ONCE = 4
+
 
 def _people(g: PropertyGraph, key: str, **names: str) -> DataFrame:
     """Persons' id as ``key`` and the named properties."""
@@ -56,14 +59,20 @@ def person_messages(g: PropertyGraph, person: int, n: int = 10) -> DataFrame:
     top = _creators(g).filter(F.col("creator") == person).select("message").join(_messages(g, "message"), "message").orderBy(F.col("date").desc_nulls_last(), F.col("message").desc()).limit(n).select("message", "date")
     posts = g.with_label("Post").select(F.col("vid").alias("at"))
     reply = g.edges_of("replyOf").select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    here = stage(top.select("message", F.col("message").alias("at"), F.lit(0).alias("hops")), "is2")
-    walked, hop = here, 0
-    # a message has few parents, so a step of the ten threads is a few rows
-    while here.limit(1).count():
-        hop += 1
-        new = here.join(reply, "at").select("message", F.col("next").alias("at")).distinct().join(walked, ["message", "at"], "left_anti")
-        here = stage(new.withColumn("hops", F.lit(hop)), "is2")
-        walked = walked.unionByName(here)
+    walked = here = stage(top.select("message", F.col("message").alias("at"), F.lit(0).alias("hops")), "is2")
+    found, hop = 1, 0
+    # a message has few parents, so the steps of the ten threads are a few rows; several are taken before the frontier is looked at
+    while found:
+        steps, front = None, here
+        for _ in range(HOPS_AT_ONCE):
+            front = front.join(reply, "at").select("message", F.col("next").alias("at"), (F.col("hops") + 1).alias("hops")).distinct()
+            steps = front if steps is None else steps.unionByName(front)
+        seen = Observation()
+        new = steps.groupBy("message", "at").agg(F.min("hops").alias("hops")).join(walked.select("message", "at"), ["message", "at"], "left_anti")
+        hop += HOPS_AT_ONCE
+        new = stage(new.observe(seen, F.count_if(F.col("hops") == hop).alias("n")), "is2")
+        found, here = seen.get["n"], new.filter(F.col("hops") == hop)
+        walked = walked.unionByName(new)
     roots = walked.join(posts, "at", "left_semi").groupBy("message").agg(F.min(F.struct("hops", "at")).alias("r")).select("message", F.col("r.at").alias("postId"))
     author = _creators(g).select(F.col("message").alias("postId"), "creator").join(_people(g, "creator", first="firstName", last="lastName"), "creator")
     return top.join(roots, "message", "left").join(author, "postId", "left").select(

@@ -1,8 +1,8 @@
 """The top N rows of every group, whatever its size.
 
-Exact group counts divide the groups. Groups holding a fixed share of all rows (so at most ``1 / share`` of them) are
-cut into ranges of the order column, a top N taken in each range and then over the ranges; all other groups go
-through an ordinary ranking window. Both halves use ``row_number() <= n``, which Catalyst also applies before
+Exact group counts divide the groups. Groups holding a fixed share of all rows, or more rows than a task's budget (their number is bounded), are
+cut into ranges of the order column, salted by the tie column so that equal scores are divided too, a top N taken in each piece and then over
+the pieces; all other groups go through an ordinary ranking window. Both halves use ``row_number() <= n``, which Catalyst also applies before
 the shuffle, so no more than N rows per group and task are moved.
 """
 
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from weft.operators.heavy import heavy_keys
 
-#: A group with at least this share of all rows is heavy; so there are at most 500 heavy groups.
+#: A group with at least this share of all rows is heavy, or one beyond the row budget of ``heavy_keys``.
 HEAVY_SHARE = 0.002
+#: Pieces of rows of equal score.
+SALTS = 8
 
 
 def _first(df: DataFrame, by: list[str], order: list[Column], n: int, rank: Column) -> DataFrame:
@@ -36,6 +38,6 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, heavy_share:
     # in a heavy group one item may hold most rows: copies go before ranking, combined on the map side
     hot = rows.join(heavy, group, "left_semi").distinct()
     cuts = rows.join(heavy, group, "left_semi").groupBy(group).agg(F.percentile_approx(score, [i / ranges for i in range(1, ranges)], 1000).alias("__cuts"))
-    salted = hot.join(F.broadcast(cuts), group).withColumn("__salt", F.size(F.filter("__cuts", lambda c: c <= F.col(score)))).drop("__cuts")
+    salted = hot.join(F.broadcast(cuts), group).withColumn("__salt", F.struct(F.size(F.filter("__cuts", lambda c: c <= F.col(score))).alias("range"), F.pmod(F.xxhash64(tie), F.lit(SALTS)).alias("salt"))).drop("__cuts")
     hot = _first(_first(salted, [group, "__salt"], order, n, F.row_number()).drop("__salt"), [group], order, n, F.row_number())
     return light.unionByName(hot)

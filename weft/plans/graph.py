@@ -11,7 +11,9 @@ from weft.operators import dml, snb
 from weft.operators.changelog import edge_changes, state_at
 from weft.operators.graph import PropertyGraph
 from weft.operators.orphans import ENDS
+from weft.session import scratch_path
 from weft.sources import snb_csv
+from weft.sources.catalog import Database
 from weft.sources.social import social_graph, vertices
 from weft.sources.tables import table
 
@@ -51,7 +53,7 @@ e AS (SELECT *, label = 'knows' AS undirected, false AS is_reverse FROM e1
   UNION ALL SELECT dst, src, label, cd, property_c, true, true FROM e1 WHERE label = 'knows' AND src <> dst)"""
 
 
-def _query(name: str, sql: str | None, recursive: bool = False, **pre: str):
+def _query(name: str, sql: str | None, recursive: bool = False):
     """Register a query on the loaded graph; ``sql`` follows the graph's definitions."""
 
     def add(f):
@@ -221,7 +223,8 @@ _query(
 _query(
     "snb_is2",
     f"""{_PEOPLE}, top AS (SELECT message, date FROM cr JOIN ms ON ms.vid = message WHERE creator = {AUTHOR} ORDER BY date DESC NULLS LAST, message DESC LIMIT 10),
-    w(message, node, hops) AS (SELECT message, message, 0 FROM top UNION SELECT w.message, e.dst, hops + 1 FROM w JOIN e ON e.src = w.node AND e.label = 'replyOf' WHERE hops < 12),
+    w(message, node, hops) USING KEY (message, node) AS (SELECT message, message, 0 FROM top
+      UNION SELECT w.message, e.dst, min(w.hops) + 1 FROM w JOIN e ON e.src = w.node AND e.label = 'replyOf' WHERE NOT EXISTS (SELECT 1 FROM recurring.w AS r WHERE r.message = w.message AND r.node = e.dst) GROUP BY w.message, e.dst),
     roots AS (SELECT message, node FROM w WHERE node IN (SELECT vid FROM ms WHERE l1 = 'Post') QUALIFY row_number() OVER (PARTITION BY message ORDER BY hops, node) = 1),
     au AS (SELECT cr.message, creator, first, last FROM cr JOIN pe ON pe.vid = creator)
     SELECT top.message AS "messageId", date AS "messageCreationDate", node AS "postId", creator AS "personId", first AS "personFirstName", last AS "personLastName" FROM top LEFT JOIN roots USING (message) LEFT JOIN au ON au.message = node""",
@@ -249,90 +252,130 @@ _query("snb_id8", " SELECT 1 AS deleted, (SELECT count(*) FROM e WHERE label = '
     lambda g: (lambda r: r[1].crossJoin(r[0].edges_of("knows").agg(F.count(F.lit(1)).alias("remaining"))))(snb.remove_friendship(g, *_pair(g, "knows")))
 )
 
-# algorithms
+# algorithms: on every vertex and every edge of every label
 
-_RANKED = """, pe AS (SELECT src, dst FROM e WHERE label IN ('knows', 'isLocatedIn', 'isPartOf')), n AS (SELECT vid FROM v WHERE tab IN ('person', 'place')),
-deg AS (SELECT src, count(*) AS d FROM pe GROUP BY 1), c AS (SELECT count(*) AS n FROM n),
+_PR = """{0}, deg AS (SELECT src, count(*) AS d FROM re GROUP BY 1), c AS (SELECT count(*) AS n FROM n),
 pr(i, vid, r) AS (SELECT 0, vid, 1.0::DOUBLE / (SELECT n FROM c) FROM n
-  UNION ALL (WITH y AS (SELECT dst AS vid, sum(0.85 * pr.r / deg.d) AS y FROM pr JOIN pe ON pe.src = pr.vid JOIN deg ON deg.src = pe.src GROUP BY 1), k AS (SELECT max(i) AS i FROM pr)
-    SELECT k.i + 1, n.vid, coalesce(y.y, 0) + (1 - (SELECT sum(y) FROM y)) / (SELECT n FROM c) FROM n LEFT JOIN y USING (vid), k WHERE k.i < 20))
-SELECT vid, round(r, 8) AS rank FROM pr WHERE i = 20"""
-
+  UNION ALL (WITH y AS (SELECT dst AS vid, sum(0.85 * pr.r / deg.d) AS y FROM pr JOIN re ON re.src = pr.vid JOIN deg ON deg.src = re.src GROUP BY 1), k AS (SELECT max(i) AS i FROM pr)
+    SELECT k.i + 1, n.vid, coalesce(y.y, 0) + (1 - (SELECT sum(y) FROM y)) / (SELECT n FROM c) FROM n LEFT JOIN y USING (vid), k WHERE k.i < {1}))"""
+_ALL = ", re AS (SELECT src, dst FROM e), n AS (SELECT vid FROM v)"
+_RANKS = " SELECT vid, round(r, 8) AS rank FROM pr WHERE i = 20"
+_RESIDUAL = f""" {_PR.format(_ALL, 100)}, moves AS (SELECT i, sum(abs(r - before)) AS delta FROM (SELECT i, r, lag(r) OVER (PARTITION BY vid ORDER BY i) AS before FROM pr) GROUP BY i HAVING i > 0),
+last AS (SELECT round(delta, 10) AS result FROM moves WHERE delta <= 1e-7 OR i = 100 ORDER BY i LIMIT 1)"""
 
-def _ranked(g: PropertyGraph) -> PropertyGraph:
-    people = g.vertices.filter(F.array_contains("labels", "Person") | F.array_contains("labels", "Place"))
-    return PropertyGraph(people, g.edges.filter(F.col("label").isin("knows", "isLocatedIn", "isPartOf")))
 
+def _ranks(g: PropertyGraph) -> DataFrame:
+    return A.pagerank(g, 20, None)[0].select("vid", F.round("rank", 8).alias("rank"))
 
-_query("pagerank", _RANKED, recursive=True)(lambda g: A.pagerank(_ranked(g), 20, None)[0].select("vid", F.round("rank", 8).alias("rank")))
-_query("pagerank_residual", None)(lambda g: A.run_algorithm(g, "pagerank"))
 
-_REPLIES = ", re AS (SELECT src, dst FROM e WHERE label = 'replyOf'), n AS (SELECT src AS vid FROM re UNION SELECT dst FROM re)"
-_WCC = f"""{_REPLIES}, sym AS (SELECT src, dst FROM re UNION SELECT dst, src FROM re),
+_query("pagerank", _PR.format(_ALL, 20) + _RANKS, recursive=True)(_ranks)
+_query("pagerank_residual", f"{_RESIDUAL} SELECT result FROM last", recursive=True)(lambda g: A.run_algorithm(g, "pagerank").select(F.round("result", 10).alias("result")))
+_WCC = """{0}, sym AS (SELECT src, dst FROM re UNION SELECT dst, src FROM re),
 cc(id, lbl) USING KEY (id) AS (SELECT vid, vid FROM n UNION SELECT s.dst, min(cc.lbl) FROM cc JOIN sym s ON s.src = cc.id JOIN recurring.cc AS r ON r.id = s.dst WHERE cc.lbl < r.lbl GROUP BY s.dst)"""
-
-
-def _replies(g: PropertyGraph) -> PropertyGraph:
-    return PropertyGraph.from_edges(g.edges_of("replyOf"))
-
-
-_query("wcc_labels", f"{_WCC} SELECT id AS vid, lbl AS component FROM cc", recursive=True)(lambda g: A.wcc(_replies(g)))
-_query("wcc_count", f"{_WCC} SELECT count(DISTINCT lbl)::DOUBLE AS result FROM cc", recursive=True)(lambda g: A.run_algorithm(_replies(g), "wcc"))
-_MIN = f"""{_REPLIES}, ids AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS idx FROM n), od AS (SELECT vid, idx, count(re.src) AS d FROM ids LEFT JOIN re ON re.src = vid GROUP BY 1, 2),
+_query("wcc_labels", f"{_WCC.format(_ALL)} SELECT id AS vid, lbl AS component FROM cc", recursive=True)(lambda g: A.wcc(g))
+_query("wcc_count", f"{_WCC.format(_ALL)} SELECT count(DISTINCT lbl)::DOUBLE AS result FROM cc", recursive=True)(lambda g: A.run_algorithm(g, "wcc"))
+_MIN = f"""{_ALL}, ids AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS idx FROM n), od AS (SELECT vid, idx, count(re.src) AS d FROM ids LEFT JOIN re ON re.src = vid GROUP BY 1, 2),
 hub AS (SELECT idx AS h FROM od ORDER BY d DESC, idx LIMIT 1),
 ml(id, lbl) USING KEY (id) AS (SELECT vid, CASE WHEN idx = 0 THEN h WHEN idx = h THEN 0 ELSE idx END FROM ids, hub
   UNION SELECT s.dst, min(ml.lbl) FROM ml JOIN re s ON s.src = ml.id JOIN recurring.ml AS r ON r.id = s.dst WHERE ml.lbl < r.lbl GROUP BY s.dst)
 SELECT id AS vid, CASE WHEN lbl = 0 THEN h WHEN lbl = h THEN 0 ELSE lbl END AS label FROM ml, hub"""
-_query("directed_min_label", _MIN, recursive=True)(lambda g: A.directed_min_label(_replies(g)).select("vid", "label"))
-_SCC = f"""{_REPLIES}, reach(a, b) AS (SELECT src, dst FROM re UNION SELECT reach.a, re.dst FROM reach JOIN re ON re.src = reach.b),
-mutual AS (SELECT x.a AS vid, max(x.b) AS m FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1), comp AS (SELECT n.vid, greatest(n.vid, coalesce(m, n.vid)) AS component FROM n LEFT JOIN mutual USING (vid))"""
-_query("scc_labels", f"{_SCC} SELECT vid, component FROM comp", recursive=True)(lambda g: A.scc(_replies(g)))
-_query("scc_count", f"{_SCC} SELECT count(DISTINCT component)::DOUBLE AS result FROM comp", recursive=True)(lambda g: A.run_algorithm(_replies(g), "scc"))
-_BFS = f""", lv(id, d) USING KEY (id) AS (SELECT {FRIENDLY}, 0 UNION SELECT e.dst, min(lv.d) + 1 FROM lv JOIN e ON e.src = lv.id AND e.label = 'knows' WHERE NOT EXISTS (SELECT 1 FROM recurring.lv AS r WHERE r.id = e.dst) GROUP BY e.dst)"""
-
-
-def _known(g: PropertyGraph) -> PropertyGraph:
-    return PropertyGraph(g.with_label("Person"), g.edges_of("knows"))
-
-
-_query("bfs_levels", f"{_BFS} SELECT id AS vid, d AS level FROM lv", recursive=True)(lambda g: A.bfs(_known(g), _hub(g, "knows", "src")))
-_query("bfs_reachable_count", f"{_BFS} SELECT count(*)::DOUBLE AS result FROM lv", recursive=True)(lambda g: A.run_algorithm(_known(g), "bfs", source=_hub(g, "knows", "src")))
+_query("directed_min_label", _MIN, recursive=True)(lambda g: A.directed_min_label(g).select("vid", "label"))
+# The component of one vertex is what it reaches and is reached from. What is left without it is small enough for a transitive closure, over
+# vertices with edges both in and out; a path between two vertices of another component never leaves that.
+_SCC = f""", re AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst), n AS (SELECT vid FROM v),
+fw(id, d) USING KEY (id) AS (SELECT {FRIENDLY}, 0 UNION SELECT re.dst, 1 FROM fw JOIN re ON re.src = fw.id WHERE NOT EXISTS (SELECT 1 FROM recurring.fw AS r WHERE r.id = re.dst) GROUP BY re.dst),
+bw(id, d) USING KEY (id) AS (SELECT {FRIENDLY}, 0 UNION SELECT re.src, 1 FROM bw JOIN re ON re.dst = bw.id WHERE NOT EXISTS (SELECT 1 FROM recurring.bw AS r WHERE r.id = re.src) GROUP BY re.src),
+giant AS (SELECT fw.id FROM fw JOIN bw USING (id)),
+r1 AS (SELECT src, dst FROM re WHERE src NOT IN (SELECT id FROM giant) AND dst NOT IN (SELECT id FROM giant)),
+r2 AS (SELECT src, dst FROM r1 WHERE dst IN (SELECT src FROM r1) AND src IN (SELECT dst FROM r1)),
+reach(a, b) AS (SELECT src, dst FROM r2 UNION SELECT reach.a, r2.dst FROM reach JOIN r2 ON r2.src = reach.b),
+mutual AS (SELECT a AS vid, max(b) AS m FROM reach WHERE (b, a) IN (SELECT a, b FROM reach) GROUP BY 1),
+comp AS (SELECT n.vid, CASE WHEN giant.id IS NOT NULL THEN (SELECT max(id) FROM giant) ELSE greatest(n.vid, coalesce(m, n.vid)) END AS component FROM n LEFT JOIN giant ON giant.id = n.vid LEFT JOIN mutual USING (vid))"""
+_query("scc_labels", f"{_SCC} SELECT vid, component FROM comp", recursive=True)(lambda g: A.scc(g))
+_query("scc_count", f"{_SCC} SELECT count(DISTINCT component)::DOUBLE AS result FROM comp", recursive=True)(lambda g: A.run_algorithm(g, "scc"))
+_BFS = ", lv(id, d) USING KEY (id) AS (SELECT {0}, 0 UNION SELECT e.dst, min(lv.d) + 1 FROM lv JOIN e ON e.src = lv.id WHERE NOT EXISTS (SELECT 1 FROM recurring.lv AS r WHERE r.id = e.dst) GROUP BY e.dst)"
+_query("bfs_levels", f"{_BFS.format(FRIENDLY)} SELECT id AS vid, d AS level FROM lv", recursive=True)(lambda g: A.bfs(g, _hub(g, "knows", "src")))
+_query("bfs_reachable_count", f"{_BFS.format(FRIENDLY)} SELECT count(*)::DOUBLE AS result FROM lv", recursive=True)(lambda g: A.run_algorithm(g, "bfs", source=_hub(g, "knows", "src")))
 
 
 def _runner(g: PropertyGraph) -> DataFrame:
     out = None
     for name in sorted(A.algorithm_table()):
-        one = A.run_algorithm(g, name).select(F.lit(name).alias("algorithm"), "result")
+        one = A.run_algorithm(g, name).select(F.lit(name).alias("algorithm"), F.round("result", 10).alias("result"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+_RUN = {
+    "bfs": f"WITH RECURSIVE {GRAPH}{_BFS.format('(SELECT min(vid) FROM v)')} SELECT count(*)::DOUBLE AS result FROM lv",
+    "pagerank": f"WITH RECURSIVE {GRAPH}{_RESIDUAL} SELECT result FROM last",
+    "scc": f"WITH RECURSIVE {GRAPH}{_SCC} SELECT count(DISTINCT component)::DOUBLE AS result FROM comp",
+    "wcc": f"WITH RECURSIVE {GRAPH}{_WCC.format(_ALL)} SELECT count(DISTINCT lbl)::DOUBLE AS result FROM cc",
+}
 _query("algorithm_runner", None)(_runner)
-_FORUM = f", re AS (SELECT src, dst FROM e WHERE label = 'hasTag' AND {_is('Post', 'src')}), n AS (SELECT src AS vid FROM re UNION SELECT dst FROM re)"
-_query("post_query_wcc", _WCC.replace(_REPLIES, _FORUM) + " SELECT count(DISTINCT lbl)::DOUBLE AS result FROM cc", recursive=True)(lambda g: A.run_algorithm(PropertyGraph.from_edges(g.pattern("Post", "hasTag")), "wcc"))
-_query("post_query_pagerank", _RANKED.replace("SELECT src, dst FROM e WHERE label IN ('knows', 'isLocatedIn', 'isPartOf')", "SELECT src, dst FROM e WHERE label = 'replyOf'").replace("SELECT vid FROM v WHERE tab IN ('person', 'place')", "SELECT src AS vid FROM pe UNION SELECT dst FROM pe"), recursive=True)(
-    lambda g: A.pagerank(_replies(g), 20, None)[0].select("vid", F.round("rank", 8).alias("rank"))
-)
+ORACLE["algorithm_runner"] = " UNION ALL ".join(f"SELECT '{name}' AS algorithm, result FROM ({sql})" for name, sql in _RUN.items())
 
-# algorithms on the whole graph: every vertex, every edge of every label. DuckDB cannot follow its strongly connected components.
+# the same on the result of a query
 
-_ALL = ", re AS (SELECT src, dst FROM e), n AS (SELECT vid FROM v)"
-_WCC_ALL, _MIN_ALL, _BFS_ALL = _WCC.replace(_REPLIES, _ALL), _MIN.replace(_REPLIES, _ALL), _BFS.replace(" AND e.label = 'knows'", "")
-_query("whole_pagerank", _RANKED.replace(" WHERE label IN ('knows', 'isLocatedIn', 'isPartOf')", "").replace(" WHERE tab IN ('person', 'place')", ""), recursive=True)(lambda g: A.pagerank(g, 20, None)[0].select("vid", F.round("rank", 8).alias("rank")))
-_query("whole_wcc_labels", f"{_WCC_ALL} SELECT id AS vid, lbl AS component FROM cc", recursive=True)(lambda g: A.wcc(g))
-_query("whole_wcc_count", f"{_WCC_ALL} SELECT count(DISTINCT lbl)::DOUBLE AS result FROM cc", recursive=True)(lambda g: A.run_algorithm(g, "wcc"))
-_query("whole_directed_min_label", _MIN_ALL, recursive=True)(lambda g: A.directed_min_label(g).select("vid", "label"))
-_query("whole_scc_labels", None)(lambda g: A.scc(g))
-_query("whole_scc_count", None)(lambda g: A.run_algorithm(g, "scc"))
-_query("whole_bfs_levels", f"{_BFS_ALL} SELECT id AS vid, d AS level FROM lv", recursive=True)(lambda g: A.bfs(g, _hub(g, "knows", "src")))
-_query("whole_bfs_reachable_count", f"{_BFS_ALL} SELECT count(*)::DOUBLE AS result FROM lv", recursive=True)(lambda g: A.run_algorithm(g, "bfs", source=_hub(g, "knows", "src")))
+_FORUM = f", re AS (SELECT src, dst FROM e WHERE label = 'hasTag' AND {_is('Post', 'src')}), n AS (SELECT src AS vid FROM re UNION SELECT dst FROM re)"
+_REPLIES = ", re AS (SELECT src, dst FROM e WHERE label = 'replyOf'), n AS (SELECT src AS vid FROM re UNION SELECT dst FROM re)"
+_query("post_query_wcc", f"{_WCC.format(_FORUM)} SELECT count(DISTINCT lbl)::DOUBLE AS result FROM cc", recursive=True)(lambda g: A.run_algorithm(PropertyGraph.from_edges(g.pattern("Post", "hasTag")), "wcc"))
+_query("post_query_pagerank", _PR.format(_REPLIES, 20) + _RANKS, recursive=True)(lambda g: _ranks(PropertyGraph.from_edges(g.edges_of("replyOf"))))
 
 # loading and replay
 
+_written: dict[tuple[str, int], str] = {}
+
+
+def _csv(g: PropertyGraph, remap: bool = False) -> PropertyGraph:
+    """The graph written as a snapshot in CSV, once for each graph of a session, and read by the loader."""
+    spark = g.vertices.sparkSession
+    key = (spark.sparkContext.applicationId, g.vertices.semanticHash())
+    if key not in _written:
+        path = scratch_path(spark, "snb", lasting=True)
+        snb_csv.write_snb(g, path)
+        _written[key] = path
+    return snb_csv.read_snb(spark, _written[key], remap)
+
+
 _query("load_vertices", " SELECT vid, count(*) AS labels, (SELECT count(*) FROM vp WHERE vp.vid = vl.vid AND value IS NOT NULL) AS properties FROM vl GROUP BY 1")(
-    lambda g: g.vertices.select("vid", F.size("labels").cast("bigint").alias("labels"), F.size("props").cast("bigint").alias("properties"))
+    lambda g: _csv(g).vertices.select("vid", F.size("labels").cast("bigint").alias("labels"), F.size("props").cast("bigint").alias("properties"))
 )
-_query("load_edges", " SELECT src, dst, label, cd AS \"creationDate\", is_reverse FROM e")(lambda g: g.edges.select("src", "dst", "label", prop("creationDate", "bigint"), "is_reverse"))
+_query("load_edges", " SELECT src, dst, label, cd AS \"creationDate\", is_reverse FROM e")(lambda g: _csv(g).edges.select("src", "dst", "label", prop("creationDate", "bigint"), "is_reverse"))
+_query(
+    "remap_edges",
+    """, st AS (SELECT vid, CASE tab WHEN 'place' THEN 'Place' WHEN 'tag' THEN 'Tag' WHEN 'forum' THEN 'Forum' WHEN 'person' THEN 'Person' ELSE coalesce(l1, 'Message') END AS stem FROM v),
+    m AS (SELECT vid, row_number() OVER (ORDER BY stem NOT IN ('Place', 'Tag'), stem, vid) - 1 AS new_id FROM st)
+    SELECT a.new_id AS src, b.new_id AS dst, label, is_reverse FROM e JOIN m a ON a.vid = e.src JOIN m b ON b.vid = e.dst""",
+)(lambda g: _csv(g, remap=True).edges.select("src", "dst", "label", "is_reverse"))
+
+
+def _recovered(g: PropertyGraph) -> DataFrame:
+    """Load the graph, write in transactions of which one never commits, and open it anew as after a crash."""
+    spark, path = g.vertices.sparkSession, scratch_path(g.vertices.sparkSession, "db")
+    hub, popular, pair = _hub(g, "knows", "src"), _hub(g, "replyOf", "dst"), _pair(g, "likes")
+    db = Database(spark, path)
+    db.create_graph("social")
+    db.load("social", g)
+    with db.begin("social") as tx:
+        tx.add_vertex(-7, ["Robot"], {"firstName": "R"})
+        tx.add_edge(-7, popular, "follows", {}, undirected=True)
+        tx.rm_vertex(hub)
+    with db.begin("social") as tx:
+        tx.add_edge(-7, hub, "follows", {})  # its target is gone
+        tx.rm_edge(*pair, "likes")
+    lost = db.begin("social")
+    lost.rm_vertex(popular)
+    lost.flush()
+    return _after(Database(spark, path).open_graph("social"))
+
+
+_query(
+    "recovered_state",
+    f""", kept AS (SELECT src, dst, label FROM e WHERE src <> {FRIENDLY} AND dst <> {FRIENDLY} AND NOT (label = 'likes' AND (src, dst) IN {_pair_sql("likes")})
+      UNION ALL SELECT -7, {POPULAR}, 'follows' UNION ALL SELECT {POPULAR}, -7, 'follows')
+    SELECT label, count(*) AS n, sum(src)::BIGINT AS src_sum, sum(dst)::BIGINT AS dst_sum FROM kept GROUP BY 1""",
+)(_recovered)
 
 
 def remap_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

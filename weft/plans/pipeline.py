@@ -117,4 +117,9 @@ ORACLE = {
     "p6_found": """WITH t AS (SELECT count(*) AS n FROM edges), c AS (
           SELECT 'src' AS endpoint, src AS id, count(*) AS n FROM edges GROUP BY ALL UNION ALL SELECT 'dst', dst, count(*) FROM edges GROUP BY ALL)
         SELECT endpoint, id FROM c WHERE id IS NOT NULL AND n >= 0.02 * (SELECT n FROM t)""",
+    # rows in the order of the table's one file
+    "p6_profiles": """WITH r AS (SELECT src, dst, loaded_at, label, row_number() OVER () AS pos FROM edges),
+        x AS (SELECT 'src' AS endpoint, src AS id, loaded_at, label, pos FROM r WHERE src IS NOT NULL UNION ALL SELECT 'dst', dst, loaded_at, label, pos FROM r WHERE dst IS NOT NULL),
+        g AS (SELECT *, row_number() OVER w AS k, epoch_us(loaded_at) - epoch_us(lag(loaded_at) OVER w) AS gap, label IS DISTINCT FROM lag(label) OVER w AS turned FROM x WINDOW w AS (PARTITION BY endpoint, id ORDER BY pos))
+        SELECT endpoint, id, count(*) AS degree, max(gap) / 1e6 AS max_gap_s, sum(CASE WHEN k > 1 AND turned THEN 1 ELSE 0 END)::BIGINT AS label_changes FROM g GROUP BY endpoint, id""",
 }

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +31,16 @@ def make_session(app: str = "weft", master: str | None = None, **conf: str) -> S
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a temporary folder is made and set as checkpoint
-    folder; a cluster is expected to name its own.
+    Where the setting is absent a local session (tests, a laptop) gets a temporary folder; on a cluster, where each machine would
+    have its own, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(named)
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not hasattr(spark.sparkContext, "_weft_scratch"):
         spark.sparkContext._weft_scratch = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.sparkContext.setCheckpointDir(spark.sparkContext._weft_scratch)
@@ -57,6 +60,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 _staged: list[tuple[SparkSession, str]] = []
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 @atexit.register
@@ -69,13 +73,24 @@ def _clean() -> None:
             pass
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder, removed when Python ends."""
+def scratch_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new, unused path in the shared folder, removed at the end of the enclosing ``scratch_scope`` or, ``lasting`` or without one, when Python ends."""
     path = f"{scratch_dir(spark)}/weft-{name}-{uuid.uuid4().hex[:12]}"
-    _staged.append((spark, path))
+    (_staged if lasting or not _scopes else _scopes[-1]).append((spark, path))
     return path
 
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Remove at its end what is staged within: for sessions that run many queries. The results must have been read or written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            remove(spark, path)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage, survives executor loss."""
     spark = df.sparkSession
@@ -84,9 +99,17 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+class Bucketed:
+    """``df`` written to the shared folder in buckets of ``key``, sorted, so that joins and aggregations on it need no shuffle of it."""
 
+    def __init__(self, df: DataFrame, key: str, name: str) -> None:
+        self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, name)
+        self.table = "weft_" + uuid.uuid4().hex[:12]
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # as many files as buckets
+        df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", self.path).saveAsTable(self.table)
+        self.df = self.spark.table(self.table)
 
-def cpus() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(self.spark, self.path)

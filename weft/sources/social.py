@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.props import props_of
-from weft.operators.graph import PropertyGraph
+from weft.operators.graph import PropertyGraph, write_edges
 from weft.operators.orphans import ENDS
 from weft.session import scratch_path
 from weft.sources.tables import table
@@ -78,11 +78,10 @@ def social_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """The graph of ``sf_dir``, written to the shared folder at its first use in a session; edges are partitioned by label."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _loaded:
-        path = scratch_path(spark, "graph")
+        path = scratch_path(spark, "graph", lasting=True)
         vertices(spark, sf_dir).write.parquet(f"{path}/v")
         v = spark.read.parquet(f"{path}/v")
-        # rows of a label together, so that a label is a few files and not one for each task
-        _edges(table(spark, sf_dir, "edges"), v).repartition("label", F.pmod(F.xxhash64("src"), F.lit(8))).write.partitionBy("label").parquet(f"{path}/e")
+        write_edges(_edges(table(spark, sf_dir, "edges"), v), f"{path}/e")
         _loaded[key] = path
     path = _loaded[key]
     v = spark.read.schema("tab string, vid bigint, labels array<string>, props map<string,string>").parquet(f"{path}/v").select("vid", "labels", "props")
