@@ -61,6 +61,37 @@ def test_little_room_unused_and_lengths_brought_down():
     assert len(packing.best_fit(np.array([], dtype=int), (64,))[1]) == 0
 
 
+def test_several_lengths_cost_less_than_the_longest_alone():
+    rng = random.Random(4)
+    permitted = (256, 512, 1024, 2048)
+    total = lambda lengths: sum(packing.cost(c, 8, 4096) for c in lengths.tolist())
+    for spread in (0.3, 1.0, 1.6):
+        sizes = np.array([min(2048, int(rng.lognormvariate(5, spread)) + 1) for _ in range(3000)])
+        into, lengths = packing.best_fit(sizes, permitted, 8, 4096)
+        used = check(into, lengths, sizes, permitted)
+        alone = packing.best_fit(sizes, (2048,), 8, 4096)
+        brought_down = np.array(permitted)[np.searchsorted(permitted, np.bincount(alone[0], weights=sizes))]
+        assert total(lengths) < 0.95 * total(brought_down) and used.sum() > 0.9 * lengths.sum()
+    for _ in range(40):
+        sizes = np.array([rng.randrange(0, 65) for _ in range(rng.randrange(1, 30))])
+        for overhead, attention in ((0, 0), (30, 0), (4, 50)):
+            into, lengths = packing.best_fit(sizes, (16, 32, 64), overhead, attention)
+            check(into, lengths, sizes, (16, 32, 64))
+            alone = packing.best_fit(sizes, (64,))[0]
+            down = np.array((16, 32, 64))[np.searchsorted((16, 32, 64), np.bincount(alone, weights=sizes))]
+            assert sum(packing.cost(c, overhead, attention) for c in lengths) <= sum(packing.cost(c, overhead, attention) for c in down)
+
+
+def test_audit_finds_what_is_wrong(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "x", 0, 0), (2, "y", 0, 0), (2, "y", 0, 0)], DDL)
+    monkeypatch.setattr(packing, "token_counts", lambda pages, folder: spark.createDataFrame([(1, 10), (2, 3), (2, 3)], "doc_id bigint, tokens bigint"))
+    placed = lambda *rows: spark.createDataFrame(list(rows), "doc_id bigint, piece int, start bigint, tokens bigint, container string, capacity int, used bigint")
+    found = lambda *rows: tuple(packing.audit(pages, placed(*rows)).first())
+    a, b, c = (1, 0, 0, 8, "p", 8, 8), (1, 1, 8, 2, "q", 8, 8), (2, 0, 0, 3, "q", 8, 8)
+    assert found(a, b, c, c) == (2, 0, 0, 0, True)
+    assert found(a, c, c) == (2, 2, 1, 1, True) and found(a, b, c, c, c) == (2, 3, 0, 1, True) and found(a, a, c, c)[2:4] == (1, 2)
+
+
 @needs_vocabulary
 def test_every_token_has_one_place(spark):
     rng = random.Random(3)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import leaks, packing, spam
+from weft.session import stage
 from weft.sources.tables import table
 
 
@@ -14,8 +15,14 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several permitted lengths, chosen jointly."""
-    return packing.pack(table(spark, sf_dir, "documents"), (256, 512, 1024, 2048), overhead=8)
+    """Several permitted lengths, chosen jointly: a container costs 8 tokens and, by attention, the square of its length over 4,096 besides its length."""
+    return packing.pack(table(spark, sf_dir, "documents"), (256, 512, 1024, 2048), overhead=8, attention=4096)
+
+
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of ``p7_containers``, measured."""
+    pages = table(spark, sf_dir, "documents")
+    return packing.audit(pages, stage(packing.pack(pages, (2048,)), "containers"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +33,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.find_spam(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_containers, p7_lengths, p8_found, p9_found)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p7_containers, p7_lengths, p7_audit, p8_found, p9_found)}
+ORACLE: dict[str, str] = {
+    "p7_audit": "SELECT count(DISTINCT doc_id) AS pages, 0 AS tokens_lost, 0 AS gaps, 0 AS overfull, true AS tight FROM documents",
+}
