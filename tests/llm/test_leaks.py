@@ -44,6 +44,32 @@ def test_exact_runs_against_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == brute(docs, items) and len(got) == len(brute(docs, items)) > 20
 
 
+def test_whole_items_with_changes_against_all_windows(spark):
+    rng = random.Random(8)
+    vocabulary = [a + b for a in "bdfgklmn" for b in ("al", "en", "ir", "os", "ut", "ax")]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(20, 120)))) for i in range(40)]
+    docs = []
+    for d in range(0, 15000, 50):
+        w = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 150))]
+        part = items[rng.randrange(40)][1].split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            at = rng.randrange(len(part))
+            part[at : at + 1] = rng.choice([[], ["zz"], [part[at], "zz"]])
+        at = rng.randrange(len(w) + 1)
+        docs.append((d, " ".join(w[:at] + part + w[at:])))
+    a, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(a, b).filter("whole >= 0.8").collect()}
+    index = leaks.ItemIndex.build(items, 10, 2)
+    want = set()
+    for d, t in docs:
+        w = words_of(t)
+        for k, _ in enumerate(items):
+            n = len(index.words[k])
+            if any(index.whole(w[max(0, i) : i + n], k) >= 0.8 for i in range(-n // 4, len(w))):
+                want.add((d, k))
+    assert got <= want and len(want) > 150 and len(got) >= 0.95 * len(want)
+
+
 def test_items_in_groups_give_the_same(spark, monkeypatch):
     docs, items = corpus(2)
     a = spark.createDataFrame(docs, "doc_id bigint, text string")

@@ -5,7 +5,8 @@ part; windows of the whole item's length would miss such passages. Every window
 SimHash of its words. The items' fingerprints, whose number is checked before they are sent to the workers, are
 indexed by ``radius + 1`` blocks of bits: two fingerprints within the radius agree in at least one block, so
 no pair within it is missed. Candidates within the radius are verified by the exact similarity of the two windows'
-five-word shingles, weighted by how few items share them, and, where asked, word by word.
+five-word shingles, weighted by how few items share them, and word by word. Each also says where in the page the whole item would stand: the
+item and the page's window of the item's size there are compared in the same way, which tells items that stand in a page as a whole, with changes or without.
 
 Pages are read in place; only candidate pairs leave the workers, so nothing about the corpus is shuffled but its findings.
 """
@@ -83,9 +84,10 @@ class ItemIndex:
     weight: dict[tuple[str, ...], float]
     ids: list[int]
     blocks: list[tuple[np.ndarray, ...]] | None = None
+    shingles: dict[int, tuple[set[tuple[str, ...]], float]] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"blocks": None}  # made anew on each worker: larger than what they are made from
+        return self.__dict__ | {"blocks": None, "shingles": None}  # made anew on each worker: larger than what they are made from
 
     @classmethod
     def build(cls, items: list[tuple[int, str]], run: int, radius: int) -> ItemIndex:
@@ -100,7 +102,6 @@ class ItemIndex:
                 prints.append(f)
         join = lambda x, t: np.concatenate(x) if x else np.empty(0, dtype=t)
         item, place, prints = join(item, np.int64), join(place, np.int64), join(prints, np.uint64)
-        # equal fingerprints stand together once; blocks index the distinct ones
         df: dict[tuple[str, ...], int] = {}
         for w in words.values():
             for s in {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}:
@@ -158,13 +159,32 @@ class ItemIndex:
         pairs = np.unique(np.concatenate(left).astype(np.int64) * max(1, len(self.prints)) + np.concatenate(right))
         return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
 
-    def similarity(self, page: list[str], item: list[str]) -> float:
-        a = {tuple(page[i : i + SHINGLE]) for i in range(len(page) - SHINGLE + 1)}
-        b = {tuple(item[i : i + SHINGLE]) for i in range(len(item) - SHINGLE + 1)}
+    def _shingles(self, words: list[str]) -> tuple[set[tuple[str, ...]], float]:
+        """The shingles of a text and their weight."""
+        found = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+        return found, self._weigh(found)
+
+    def _weigh(self, shingles: set[tuple[str, ...]]) -> float:
         most = float(np.log(1 + max(1, len(self.words))))
-        w = lambda s: sum(self.weight.get(x, most) for x in s)
-        whole = w(a | b)
-        return w(a & b) / whole if whole else float(page == item)
+        return sum(self.weight.get(x, most) for x in shingles)
+
+    def similarity(self, page: list[str], item: list[str]) -> float:
+        """The weight of the shingles two windows share, over that of all."""
+        (a, wa), (b, wb) = self._shingles(page), self._shingles(item)
+        both = self._weigh(a & b)
+        whole = wa + wb - both
+        return both / whole if whole else float(page == item)
+
+    def whole(self, page: list[str], k: int) -> float:
+        """The same for the whole item ``k``, whose shingles are kept."""
+        if self.shingles is None:
+            self.shingles = {}
+        if k not in self.shingles:
+            self.shingles[k] = self._shingles(self.words[k])
+        (a, wa), (b, wb) = self._shingles(page), self.shingles[k]
+        both = self._weigh(a & b)
+        whole = wa + wb - both
+        return both / whole if whole else 0.0
 
 
 def _ramp(sizes: np.ndarray) -> np.ndarray:
@@ -181,7 +201,7 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
         a = b
 
 
-FOUND = "doc_id bigint, item_id bigint, windows bigint, distance int, similarity double, exact boolean"
+FOUND = "doc_id bigint, item_id bigint, windows bigint, distance int, similarity double, exact boolean, whole double"
 
 
 def _search(index: ItemIndex, least: float):
@@ -191,8 +211,8 @@ def _search(index: ItemIndex, least: float):
             for part in _pages(batch):
                 out = _page_batch(part, index, signs, least)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_()), strict=True)],
-                    names=["doc_id", "item_id", "windows", "distance", "similarity", "exact"],
+                    [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.float64()), strict=True)],
+                    names=["doc_id", "item_id", "windows", "distance", "similarity", "exact", "whole"],
                 )
 
     return search
@@ -223,19 +243,25 @@ def _page_batch(pages: list[tuple[int, list[str]]], index: ItemIndex, signs: Sig
     prints, owner, place = np.concatenate(prints), np.concatenate(owner), np.concatenate(place)
     at, of = index.candidates(prints)
     best: dict[tuple[int, int], list] = {}
+    # all windows of one alignment of a page and an item point to the same place of the whole item
+    wholes: dict[tuple[int, int, int], float] = {}
     for a, b in zip(at.tolist(), of.tolist(), strict=True):
         j, k = int(owner[a]), int(index.item[b])
         page = pages[j][1][place[a] : place[a] + run]
+        begin = int(place[a] - index.place[b])
+        if (j, k, begin) not in wholes:
+            wholes[j, k, begin] = index.whole(pages[j][1][max(0, begin) : begin + len(index.words[k])], k)
+        whole = wholes[j, k, begin]
         item = index.words[k][index.place[b] : index.place[b] + run]
         same = page == item
         score = 1.0 if same else index.similarity(page, item)
-        if score < least:
+        if score < least and whole < least:
             continue
         distance = int(prints[a] ^ index.prints[b]).bit_count()
         k = index.ids[k]
-        old = best.get((j, k), [0, 64, 0.0, False])
-        best[(j, k)] = [old[0] + 1, min(old[1], distance), max(old[2], score), old[3] or same]
-    out: list[list] = [[], [], [], [], [], []]
+        old = best.get((j, k), [0, 64, 0.0, False, 0.0])
+        best[(j, k)] = [old[0] + 1, min(old[1], distance), max(old[2], score), old[3] or same, max(old[4], whole)]
+    out: list[list] = [[], [], [], [], [], [], []]
     for (j, k), v in best.items():
         for c, x in zip(out, (pages[j][0], k, *v), strict=True):
             c.append(x)
@@ -243,10 +269,11 @@ def _page_batch(pages: list[tuple[int, list[str]]], index: ItemIndex, signs: Sig
 
 
 def find_leaks(pages: DataFrame, items: DataFrame, run: int = 10, radius: int = 2, least: float = 0.8) -> DataFrame:
-    """doc_id, item_id, windows, distance, similarity, exact: pages that hold a passage of an item.
+    """doc_id, item_id, windows, distance, similarity, exact, whole: pages that hold a passage of an item.
 
-    ``windows`` counts the pairs of windows with a weighted-shingle similarity of at least ``least``, ``distance`` and
-    ``similarity`` are those of the nearest, ``exact`` tells whether a run of ``run`` words stands in both. All items that hold the passage count.
+    ``windows`` counts the pairs of windows that are similar, or belong to a place where the whole item is, by at least ``least`` in weighted shingles, ``distance`` and
+    ``similarity`` are those of the nearest, ``exact`` tells whether a run of ``run`` words stands in both, ``whole`` is the greatest similarity of the
+    whole item to the page's words at such a place. All items that hold the passage count.
     Rows repeated under one id, on either side, are taken together. Null or empty texts and those shorter than ``run`` words have no window and give no row, as do rows of a null id.
     Any number of items is served: they are searched in groups of at most ``MAX_WINDOWS`` windows, so that what a
     worker is sent stays bounded.
@@ -264,7 +291,7 @@ def find_leaks(pages: DataFrame, items: DataFrame, run: int = 10, radius: int =
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], FOUND)
-    return found.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.min("distance").alias("distance"), F.max("similarity").alias("similarity"), F.max("exact").alias("exact"))
+    return found.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.min("distance").alias("distance"), F.max("similarity").alias("similarity"), F.max("exact").alias("exact"), F.max("whole").alias("whole"))
 
 
 def _groups(items: DataFrame) -> Iterator[list[tuple[int, str]]]:

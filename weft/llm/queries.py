@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.llm import leaks, packing, spam
 from weft.session import stage
@@ -29,11 +30,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark_items")).filter("exact").select("doc_id", "item_id")
 
 
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that stand in a page as a whole, word for word or with few changes: similarity of 0.8 and more in weighted shingles."""
+    found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark_items")).filter("whole >= 0.8")
+    return found.select("doc_id", "item_id", F.round("whole", 6).alias("similarity"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.find_spam(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_containers, p7_lengths, p7_audit, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p7_containers, p7_lengths, p7_audit, p8_found, p8_near, p9_found)}
 ORACLE: dict[str, str] = {
     "p7_audit": "SELECT count(DISTINCT doc_id) AS pages, 0 AS tokens_lost, 0 AS gaps, 0 AS overfull, true AS tight FROM documents",
 }
