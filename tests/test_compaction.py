@@ -61,16 +61,23 @@ def test_every_record_is_accounted_for(spark, tmp_path):
     assert sizes[2] - sizes[1] == 2
 
 
-def test_changed_fields_do_not_pass(spark, tmp_path):
-    good = compaction.read_part_files(files(spark, [("Forum", 1, "1|t|9"), ("Forum", 2, "1|u|9")])).filter("reason IS NULL")
-    for title, fine in (("u", True), ("t", False)):
-        new = f"file://{tmp_path}/{title}"
-        spark.sql(f"SELECT 'Forum' AS entity, 1L AS id, map('creationDate', '9', 'title', '{title}') AS fields").write.partitionBy("entity").parquet(new)
-        if fine:
-            assert compaction._reconcile(spark, good, new) == 1
-        else:
-            with pytest.raises(RuntimeError):
-                compaction._reconcile(spark, good, new)
+def test_changed_fields_do_not_pass(spark, tmp_path, monkeypatch):
+    bodies = files(spark, [("Forum", 1, "1|t|9"), ("Forum", 2, "1|u|9")])
+    out = f"file://{tmp_path}/out"
+    assert consolidate(bodies, out)["records"] == 1
+    whole = compaction.read_consolidated
+    monkeypatch.setattr(compaction, "read_consolidated", lambda spark, path: whole(spark, path).selectExpr("id", "map('creationDate', '9', 'title', 't') AS fields", "entity"))
+    with pytest.raises(RuntimeError):
+        consolidate(bodies, out)
+    monkeypatch.setattr(compaction, "read_consolidated", lambda spark, path: whole(spark, path).filter("id <> 1"))
+    with pytest.raises(RuntimeError):
+        consolidate(bodies, out)
+
+
+def test_one_of_two_bodies_of_a_path_is_chosen_whatever_the_batches(spark):
+    rows = [("a/dynamic/Forum/p.csv", DAY, 0, f"1|{t}|9", 0, 0) for t in "abcd"]
+    chosen = {consolidated(spark.createDataFrame(rows, DDL).repartition(n)).first()["fields"]["title"] for n in (1, 4)}
+    assert len(chosen) == 1
 
 
 def test_failure_leaves_the_old_folder(spark, tmp_path, monkeypatch):
