@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.operators.rejects import ENTITY_COLUMNS
@@ -83,13 +83,15 @@ def parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if reason:
                     aside.append((entity, None, record, path, at, 0, 1, reason))
                     continue
-                version = (at, path, tuple(record.items()))
                 old = best.get((entity, vid))
-                if old is None:
-                    best[entity, vid] = [version, 1]
+                if old is None or old[0] < (at, path):
+                    best[entity, vid] = [(at, path), [record], 1 + (old[2] if old else 0)]
                 else:
-                    old[0], old[1] = max(old[0], version), old[1] + 1
-        rows = [(e, k, dict(v[2]), v[1], v[0], sum(_bytes(x) + 1 for _, x in v[2]) + 20, n, None) for (e, k), (v, n) in best.items()] + aside
+                    old[2] += 1
+                    # copies as new as each other stay for the ranking over all files to choose
+                    if old[0] == (at, path) and record not in old[1]:
+                        old[1].append(record)
+        rows = [(e, k, r, v[1], v[0], sum(_bytes(x) + 1 for x in r.values()) + 20, 0 if i else n, None) for (e, k), (v, kept, n) in best.items() for i, r in enumerate(kept)] + aside
         columns = list(zip(*rows, strict=True)) if rows else [()] * 8
         types = (pa.string(), pa.int64(), _FIELDS, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         names = ["entity", "id", "fields", "path", "written_at", "bytes", "copies", "reason"]
@@ -116,7 +118,7 @@ def consolidate(files: DataFrame, out: str, target_bytes: int = TARGET_BYTES) ->
     """Write the records of ``files``, each once, below ``out`` in a folder per entity; returns the reconciled counts.
 
     ``read`` records are ``repeats`` of others, ``rejected`` or ``records`` written. Of several copies of a record the last written is kept, of those the
-    greatest path, of those the greatest fields. An entity gets a part for each ``target_bytes`` begun. A run that fails leaves
+    greatest path, of those the one whose fields have the greatest hash. An entity gets a part for each ``target_bytes`` begun. A run that fails leaves
     ``out`` as it was; an existing ``out`` is replaced only after the new folder agrees with the records read, fields included.
     No record at all writes an empty data set.
     """
@@ -127,12 +129,12 @@ def consolidate(files: DataFrame, out: str, target_bytes: int = TARGET_BYTES) ->
     sizes = staged.groupBy("entity").agg(F.sum("copies").alias("n"), F.sum(F.when(F.col("reason").isNotNull(), F.col("copies")).otherwise(0)).alias("rejected"), F.sum("bytes").alias("bytes"))
     sizes = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("rejected"), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("bytes") / target_bytes)), F.lit(0))).first()
     read, rejected, parts = int(sizes[0]), int(sizes[1]), max(1, int(sizes[2]))
-    last = Window.partitionBy("entity", "id").orderBy(F.col("written_at").desc(), F.col("path").desc(), F.array_sort(F.map_entries("fields")).desc())
-    ranged = good.select("entity", "id", "fields", "written_at", "path").repartitionByRange(parts, "entity", "id")
-    once = ranged.withColumn("__rank", F.row_number().over(last)).filter(F.col("__rank") == 1).select("entity", "id", "fields")
-    new = f"{out}.new-{uuid.uuid4().hex[:8]}"
-    once.sortWithinPartitions("entity", "id").write.partitionBy("entity").parquet(new)
-    records = _reconcile(spark, good, new)
+    last = Window.partitionBy("entity", "id").orderBy(F.col("written_at").desc(), F.col("path").desc(), F.col("mark").desc())
+    ranged = good.select("entity", "id", "fields", "written_at", "path").repartitionByRange(parts, "entity", "id").withColumn("mark", _mark())
+    once = ranged.withColumn("__rank", F.row_number().over(last)).filter(F.col("__rank") == 1)
+    new, seen = f"{out}.new-{uuid.uuid4().hex[:8]}", Observation()
+    once.sortWithinPartitions("entity", "id").observe(seen, _total().alias("mark")).select("entity", "id", "fields").write.partitionBy("entity").parquet(new)
+    records = _reconcile(spark, good, seen.get["mark"], new)
     _swap(spark, new, out)
     return {"read": read, "rejected": rejected, "repeats": read - rejected - records, "records": records, "parts": parts}
 
@@ -141,16 +143,19 @@ def read_consolidated(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema("id bigint, fields map<string,string>, entity string").parquet(out)
 
 
-def _reconcile(spark: SparkSession, good: DataFrame, new: str) -> int:
-    """Compare the records to be kept and the checksum of their fields with what was written; raises if they differ.
+def _total() -> Column:
+    return F.sum(F.xxhash64("entity", "id", "mark").cast("decimal(38,0)"))
 
-    What is to be kept is found by aggregation, apart from the ranking that wrote it.
+
+def _reconcile(spark: SparkSession, good: DataFrame, chosen, new: str) -> int:
+    """Compare the folder with the keys that were read and with the checksum of the records chosen, fields included; raises if they differ.
+
+    The keys are found by aggregation, apart from the ranking that chose the records.
     """
-    marked = good.select("entity", "id", F.struct("written_at", "path", F.array_sort(F.map_entries("fields")).alias("f"), _mark().alias("mark")).alias("v"))
-    total = F.sum(F.xxhash64("entity", "id", "mark").cast("decimal(38,0)"))
-    want = marked.groupBy("entity", "id").agg(F.max("v").alias("v")).select("entity", "id", "v.mark").agg(F.count(F.lit(1)).alias("n"), total.alias("mark")).first()
-    got = read_consolidated(spark, new).select("entity", "id", _mark().alias("mark")).agg(F.count(F.lit(1)).alias("n"), total.alias("mark")).first()
-    if (want["n"], want["mark"]) != (got["n"], got["mark"]):
+    keys = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("entity", "id").cast("decimal(38,0)")).alias("keys"))
+    want = keys(good.groupBy("entity", "id").agg(F.lit(1))).first()
+    got = read_consolidated(spark, new).withColumn("mark", _mark()).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("entity", "id").cast("decimal(38,0)")).alias("keys"), _total().alias("mark")).first()
+    if (want["n"], want["keys"], chosen) != (got["n"], got["keys"], got["mark"]):
         raise RuntimeError(f"consolidation lost, doubled or changed records: {want['n']} to be kept, {got['n']} written")
     return int(got["n"])
 
