@@ -370,6 +370,29 @@ def _recovered(g: PropertyGraph) -> DataFrame:
     return _after(Database(spark, path).open_graph("social"))
 
 
+def _points(g: PropertyGraph) -> DataFrame:
+    """The state at a rollback point and the present one, after the log has been folded into a snapshot."""
+    spark, path = g.vertices.sparkSession, scratch_path(g.vertices.sparkSession, "db")
+    hub, pair = _hub(g, "knows", "src"), _pair(g, "likes")
+    db = Database(spark, path)
+    db.create_graph("social")
+    db.load("social", g)
+    with db.begin("social") as tx:
+        tx.rm_edge(*pair, "likes")
+    db.create_rollback("social", "before")
+    with db.begin("social") as tx:
+        tx.rm_vertex(hub)
+    db.compact("social")
+    states = [_after(s).withColumn("state", F.lit(name)) for name, s in (("before", db.rollback("social", "before")), ("now", db.open_graph("social")))]
+    return states[0].unionByName(states[1])
+
+
+_query(
+    "rollback_point_state",
+    f""", kept AS (SELECT * FROM e WHERE NOT (label = 'likes' AND (src, dst) IN {_pair_sql("likes")})),
+    states AS (SELECT 'before' AS state, src, dst, label FROM kept UNION ALL SELECT 'now', src, dst, label FROM kept WHERE src <> {FRIENDLY} AND dst <> {FRIENDLY})
+    SELECT state, label, count(*) AS n, sum(src)::BIGINT AS src_sum, sum(dst)::BIGINT AS dst_sum FROM states GROUP BY 1, 2""",
+)(_points)
 _query(
     "recovered_state",
     f""", kept AS (SELECT src, dst, label FROM e WHERE src <> {FRIENDLY} AND dst <> {FRIENDLY} AND NOT (label = 'likes' AND (src, dst) IN {_pair_sql("likes")})
