@@ -14,7 +14,7 @@ from weft.operators.graph import PropertyGraph
 from weft.session import stage
 
 #: Replies followed in one job.
-HOPS_AT_ONCE = 4
+HOPS_AT_ONCE = 6
 
 
 def _people(g: PropertyGraph, key: str, **names: str) -> DataFrame:
