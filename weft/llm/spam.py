@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +60,8 @@ _BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LINE_WORDS = 12
 #: Longest line, in characters, that can be a menu entry or notice.
 NOTICE_CHARS = 120
+#: Bytes of text turned into Python objects at once.
+PART_BYTES = 4 << 20
 #: Different function words without which a page is in no language: one word, however often, may be a keyword.
 DISTINCT = 3
 
@@ -230,11 +233,23 @@ def _declared(lang: str | None) -> str | None:
 PAGE = "doc_id bigint, lang string, langs string, share double, listed double, n int, freq array<int>, words array<int>, own string"
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of some 4 MB, a longer page alone, so that a worker holds no more of them as Python objects."""
+    a, size, sizes = 0, 0, pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()
+    for b, n in enumerate(sizes):
+        if size and size + (n or 0) > PART_BYTES:
+            yield batch.slice(a, b - a)
+            a, size = b, 0
+        size += (n or 0) + 200
+    if a < batch.num_rows:
+        yield batch.slice(a)
+
+
 def _read_pages(recurring: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(recurring)
         ints = pa.list_(pa.int32())
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             out: list[list] = [[], [], [], [], [], [], [], [], []]
             for k, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
                 page = reader.page(text)
@@ -322,7 +337,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64()), pa.array([pages[k] for k in keys], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["lang", "prose", "word", "n", "pages"])
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in _parts(whole)):
         for g, prose, own in zip(*(batch.column(c).to_pylist() for c in ("lang", "prose", "own")), strict=True):
             for w, c in Counter(own.split()).items():
                 total[g, prose, w] += c
@@ -394,7 +409,7 @@ def _outside(segments: list[list[str]], links: int, languages: list[tuple[frozen
 def _divergences(words: dict[str, frozenset[str]], usual: dict[str, float], part: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = {g: (words[g], usual[g]) for g in words}
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             ids, sizes, outside, divergence = [], [], [], []
             for k, langs, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "langs", "own")), strict=True):
                 lines = own.split("\n") if own else []
