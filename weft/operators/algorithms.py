@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from weft.operators import onetask
 from weft.operators.graph import PropertyGraph
-from weft.session import Bucketed, remove, scratch_path
+from weft.session import Bucketed, bucket, remove, scratch_path, stage, unbucket
 
 log = logging.getLogger(__name__)
 
@@ -69,23 +70,44 @@ class ResultTable:
 
 
 class _State:
-    """A DataFrame written in every round; the round before is removed once the next stands."""
+    """A DataFrame written in every round; the round before is removed once the next stands. With a ``key`` it is in buckets of it."""
 
-    def __init__(self, df: DataFrame, name: str) -> None:
-        self.spark, self.name, self.path = df.sparkSession, name, None
+    def __init__(self, df: DataFrame, name: str, key: str | None = None) -> None:
+        self.spark, self.name, self.key, self.at = df.sparkSession, name, key, None
         self.set(df)
 
-    def set(self, df: DataFrame) -> DataFrame:
+    def _write(self, df: DataFrame) -> tuple[str | None, str]:
         path = scratch_path(self.spark, self.name)
-        df.write.parquet(path)
+        if self.key is None:
+            df.write.parquet(path)
+            self.df = self.spark.read.schema(df.schema).parquet(path)
+            return None, path
+        table = bucket(df, self.key, path)
+        self.df = self.spark.table(table)
+        return table, path
+
+    def keep(self, df: DataFrame) -> tuple[tuple[str | None, str], DataFrame] | None:
+        """Write the next round and return the one before, which stands until ``forget`` or ``back`` is called with it."""
+        last = self.at and (self.at, self.df)
+        self.at = self._write(df)
+        return last
+
+    def forget(self, last: tuple[tuple[str | None, str], DataFrame] | None) -> None:
+        if last:
+            unbucket(self.spark, *last[0])
+
+    def back(self, last: tuple[tuple[str | None, str], DataFrame]) -> None:
+        """Take ``last`` again and remove what was written since."""
         self.drop()
-        self.path = path
-        self.df = self.spark.read.schema(df.schema).parquet(path)
+        self.at, self.df = last
+
+    def set(self, df: DataFrame) -> DataFrame:
+        self.forget(self.keep(df))
         return self.df
 
     def drop(self) -> None:
-        if self.path:
-            remove(self.spark, self.path)
+        if self.at:
+            unbucket(self.spark, *self.at)
 
 
 class _Growing:
@@ -114,6 +136,32 @@ class _Growing:
         remove(self.spark, self.path)
 
 
+#: Vertices and edges that one task may hold: some 400 MB of arrays while they are sorted.
+ONE_TASK = 6_000_000
+
+
+def _in_one(graph: PropertyGraph) -> _State | DataFrame | None:
+    """The graph as rows (src, dst), vertices without dst, if one task can hold it; a larger one takes rounds of jobs."""
+    both = graph.ids.select(F.col("vid").alias("src"), F.lit(None).cast("bigint").alias("dst")).unionByName(graph.links)
+    if graph.stored:
+        return both if both.count() <= ONE_TASK else None
+    seen = Observation()
+    rows = _State(both.observe(seen, F.count(F.lit(1)).alias("n")), "links")
+    if seen.get["n"] <= ONE_TASK:
+        return rows
+    rows.drop()
+    return None
+
+
+def _solved(rows: _State | DataFrame, f: Callable, schema: str, name: str) -> DataFrame:
+    """The result of ``f``, of ``onetask``, on all rows in one task, written."""
+    staged = isinstance(rows, _State)
+    out = stage((rows.df if staged else rows).coalesce(1).mapInArrow(f, schema), name)
+    if staged:
+        rows.drop()
+    return out
+
+
 def aggregate_messages(edges: DataFrame, state: DataFrame, message: Column, combine: Callable[[Column], Column]) -> DataFrame:
     """Send ``message`` (over the columns of ``state``, keyed by vid) along every edge and combine it at the target: vid, msg."""
     sent = edges.select("src", "dst").join(state, F.col("src") == F.col("vid")).select(F.col("dst").alias("vid"), message.alias("msg"))
@@ -126,26 +174,33 @@ def pagerank(graph: PropertyGraph, iterations: int = 100, tolerance: float | Non
     All edges count, parallel ones each. Teleport and dangling mass are spread evenly; the residual is the L1 distance of
     the last two rounds. Ranks sum to 1 but for rounding, which is taken out at the end. With ``tolerance`` None exactly ``iterations`` rounds run.
     """
-    v = graph.vertices.select("vid")
+    if (rows := _in_one(graph)) is not None:
+        got = _solved(rows, lambda batches: onetask.pagerank(batches, iterations, tolerance, damping), "vid bigint, rank double, delta double, rounds int", "pr")
+        last = got.select("delta", "rounds").first()
+        return got.select("vid", "rank"), last["delta"] if last else 0.0, last["rounds"] if last else 0
+    v = graph.ids
     n = v.count()
     if n == 0:
         return v.withColumn("rank", F.lit(0.0)), 0.0, 0
-    out = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    # in buckets of src once, so a round shuffles ranks and their sums, never edges
-    edges = Bucketed(graph.edges.select("src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(out, "src").select("src", "dst", (F.lit(damping) * F.col("k") / F.col("d")).alias("w")), "src", "pr-edges")
-    e = edges.df
-    # a round's state is (vid, old, y) with the new rank y + spare; spare comes with the job that writes y
-    y = _State(v.select("vid", F.lit(0.0).alias("old"), F.lit(1.0 / n).alias("y")), "pr")
-    spare, delta, done = 0.0, 2.0, 0
-    while done < iterations and (tolerance is None or delta > tolerance):
-        x = y.df.select("vid", (F.col("y") + F.lit(spare)).alias("rank"))
-        got = e.join(x.withColumnRenamed("vid", "src"), "src").groupBy(F.col("dst").alias("vid")).agg(F.sum(F.col("w") * F.col("rank")).alias("y"))
-        seen = Observation()
-        y.set(x.join(got, "vid", "left").select("vid", F.col("rank").alias("old"), F.coalesce("y", F.lit(0.0)).alias("y")).observe(seen, F.sum("y").alias("y")))
-        spare = (1.0 - seen.get["y"]) / n
-        if tolerance is not None:
-            delta = y.df.agg(F.sum(F.abs(F.col("old") - F.col("y") - F.lit(spare)))).first()[0]
-        done += 1
+    out = graph.links.groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("d"))
+    # edges in buckets of src and state in buckets of vid, so a round shuffles the sums for targets only
+    edges = Bucketed(graph.links, "src", "pr-edges")
+    # a round's state is (vid, old, y, f) with the new rank y + spare and the share f of a rank that each edge carries; spare comes with the job that writes y
+    y = _State(v.join(out, "vid", "left").select("vid", F.lit(0.0).alias("old"), F.lit(1.0 / n).alias("y"), (F.lit(damping) / F.col("d")).alias("f")), "pr", "vid")
+    spare, done = 0.0, 0
+    while done < iterations:
+        x = y.df.select("vid", "old", (F.col("y") + F.lit(spare)).alias("rank"), "f")
+        sent = x.filter("f is not null").select(F.col("vid").alias("src"), (F.col("rank") * F.col("f")).alias("m"))
+        got = edges.df.join(sent.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("vid")).agg(F.sum("m").alias("y"))
+        # the residual of the round before comes with this one, whose rows are dropped if that was small enough
+        before, now = Observation(), Observation()
+        new = x.observe(before, F.sum(F.abs(F.col("old") - F.col("rank"))).alias("delta")).join(got.hint("shuffle_hash"), "vid", "left")
+        last = y.keep(new.select("vid", F.col("rank").alias("old"), F.coalesce("y", F.lit(0.0)).alias("y"), "f").observe(now, F.sum("y").alias("y")))
+        if tolerance is not None and done and before.get["delta"] <= tolerance:
+            y.back(last)
+            break
+        y.forget(last)
+        spare, done = (1.0 - now.get["y"]) / n, done + 1
     edges.drop()
     new = F.col("y") + F.lit(spare)
     whole, delta = y.df.agg(F.sum(new), F.sum(F.abs(F.col("old") - new))).first()
@@ -157,8 +212,8 @@ def wcc(graph: PropertyGraph) -> DataFrame:
 
     The number of rounds grows with the logarithm of the size; vertices without edges are their own component.
     """
-    v = graph.vertices.select("vid")
-    links = graph.edges.filter(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+    v = graph.ids
+    links = graph.links.filter(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     links = _State(links.join(v.withColumnRenamed("vid", "u"), "u", "left_semi").join(v.withColumnRenamed("vid", "v"), "v", "left_semi").select("u", "v"), "wcc")
     mark = None
     while True:
@@ -208,10 +263,10 @@ def directed_min_label(graph: PropertyGraph, rounds: int | None = None) -> DataF
 
 def bfs(graph: PropertyGraph, source: int | None = None) -> DataFrame:
     """vid, level: hops over edges from ``source``, the smallest id if None; empty where it is no vertex."""
-    v = graph.vertices.select("vid")
+    v = graph.ids
     if source is None:
         source = v.agg(F.min("vid")).first()[0]
-    e = graph.edges.select("src", "dst")
+    e = graph.links
     seen = _Growing(v.filter(F.col("vid") == (source if source is not None else -1)).withColumn("level", F.lit(0)), "bfs")
     found = 1
     while found:
@@ -222,8 +277,8 @@ def bfs(graph: PropertyGraph, source: int | None = None) -> DataFrame:
 
 def scc(graph: PropertyGraph) -> DataFrame:
     """vid, component: the greatest id of each strongly connected component, by trimming, colouring and backward search."""
-    v = graph.vertices.select("vid")
-    e = _State(graph.edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "scc-edges")
+    v = graph.ids
+    e = _State(graph.links.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "scc-edges")
     left = _State(v, "scc-left")
     found = _Growing(v.limit(0).withColumn("component", F.col("vid")), "scc")
     size = left.df.count()
@@ -278,7 +333,7 @@ def _one(spark_df: DataFrame, value: float) -> DataFrame:
 
 @register_algorithm("pagerank")
 def _pagerank(graph: PropertyGraph, **options) -> DataFrame:
-    return _one(graph.vertices, pagerank(graph, **options)[1])
+    return _one(graph.ids, pagerank(graph, **options)[1])
 
 
 @register_algorithm("wcc")

@@ -43,6 +43,21 @@ class PropertyGraph:
         ends = full.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
         return cls(ends.select("vid", F.array().cast("array<string>").alias("labels"), F.create_map().cast("map<string,string>").alias("props")), full)
 
+    @property
+    def stored(self) -> bool:
+        """Whether ids and links are read from files, so that reading them twice costs little."""
+        return False
+
+    @property
+    def ids(self) -> DataFrame:
+        """vid of all vertices."""
+        return self.vertices.select("vid")
+
+    @property
+    def links(self) -> DataFrame:
+        """src, dst of all edges; for algorithms that need no more."""
+        return self.edges.select("src", "dst")
+
     # vertices
 
     def vertex(self, vid: int) -> DataFrame:

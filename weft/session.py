@@ -99,6 +99,20 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucket(df: DataFrame, key: str, path: str) -> str:
+    """Write ``df`` to ``path`` in buckets of ``key``, as many as there are shuffle partitions, and return the name of its table. Rows come as they are partitioned: by ``key``, or each task writes many files."""
+    table, parts = "weft_" + uuid.uuid4().hex[:12], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, key).option("path", path).saveAsTable(table)
+    return table
+
+
+def unbucket(spark: SparkSession, table: str | None, path: str) -> None:
+    """Remove what ``bucket`` wrote, or the plain files at ``path``."""
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    remove(spark, path)
+
+
 class Bucketed:
     """``df`` written to the shared folder in buckets of ``key``, sorted, so that joins and aggregations on it need no shuffle of it."""
 
