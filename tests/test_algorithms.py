@@ -11,7 +11,7 @@ from weft.sources import social
 def outcome(g):
     ranks, delta, rounds = A.pagerank(g, tolerance=1e-2)
     pairs = lambda df: sorted(map(tuple, df.collect()))
-    return [(v, round(r, 9)) for v, r in pairs(ranks)], round(delta, 10), rounds
+    return [(v, round(r, 9)) for v, r in pairs(ranks)], round(delta, 10), rounds, pairs(A.wcc(g)), pairs(A.scc(g)), pairs(A.bfs(g)), pairs(A.bfs(g, source=5))
 
 
 @pytest.mark.parametrize("vids,edges", [(range(30), None), ([], []), (range(3), [(0, 99), (99, 1), (2, 2), (1, 2), (1, 2), (2, 1)])])

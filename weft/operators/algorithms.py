@@ -212,6 +212,8 @@ def wcc(graph: PropertyGraph) -> DataFrame:
 
     The number of rounds grows with the logarithm of the size; vertices without edges are their own component.
     """
+    if (rows := _in_one(graph)) is not None:
+        return _solved(rows, onetask.wcc, "vid bigint, component bigint", "wcc")
     v = graph.ids
     links = graph.links.filter(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     links = _State(links.join(v.withColumnRenamed("vid", "u"), "u", "left_semi").join(v.withColumnRenamed("vid", "v"), "v", "left_semi").select("u", "v"), "wcc")
@@ -263,6 +265,8 @@ def directed_min_label(graph: PropertyGraph, rounds: int | None = None) -> DataF
 
 def bfs(graph: PropertyGraph, source: int | None = None) -> DataFrame:
     """vid, level: hops over edges from ``source``, the smallest id if None; empty where it is no vertex."""
+    if (rows := _in_one(graph)) is not None:
+        return _solved(rows, lambda batches: onetask.bfs(batches, source), "vid bigint, level int", "bfs")
     v = graph.ids
     if source is None:
         source = v.agg(F.min("vid")).first()[0]
@@ -277,6 +281,8 @@ def bfs(graph: PropertyGraph, source: int | None = None) -> DataFrame:
 
 def scc(graph: PropertyGraph) -> DataFrame:
     """vid, component: the greatest id of each strongly connected component, by trimming, colouring and backward search."""
+    if (rows := _in_one(graph)) is not None:
+        return _solved(rows, onetask.scc, "vid bigint, component bigint", "scc")
     v = graph.ids
     e = _State(graph.links.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "scc-edges")
     left = _State(v, "scc-left")
