@@ -136,7 +136,7 @@ class _Growing:
         remove(self.spark, self.path)
 
 
-#: Vertices and edges that one task may hold: some 400 MB of arrays while they are sorted.
+#: Vertices and edges that one task may hold: by estimate some 400 MB of arrays while they are sorted. 4.6 million were measured.
 ONE_TASK = 6_000_000
 
 
